@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import kneser_ney, mixing, pii, repeats, simhash, sketch, urls
+from foliant.llm import kneser_ney, masked_lm, mixing, pii, repeats, simhash, sketch, urls
 from foliant.llm.common import table
 
 
+def op1_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
 
@@ -42,4 +46,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_repeats, op3_quality, op4_simhash, op5_sketch, op6_pii, op7_url_filter, op9_mixing)}
+    return {f.__name__: f for f in (op1_masked_lm, op2_repeats, op3_quality, op4_simhash, op5_sketch, op6_pii, op7_url_filter, op9_mixing)}
