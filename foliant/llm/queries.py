@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import kneser_ney, masked_lm, mixing, pii, repeats, simhash, sketch, urls
+from foliant.llm import kneser_ney, latent, masked_lm, mixing, pii, repeats, simhash, sketch, urls
 from foliant.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs)
@@ -46,4 +50,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_masked_lm, op2_repeats, op3_quality, op4_simhash, op5_sketch, op6_pii, op7_url_filter, op9_mixing)}
+    return {f.__name__: f for f in (op1_masked_lm, op2_repeats, op3_quality, op4_simhash, op5_sketch, op6_pii, op7_url_filter, op8_decontamination, op9_mixing)}
