@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import kneser_ney, latent, masked_lm, mixing, pii, repeats, simhash, sketch, urls
+from foliant.llm import kneser_ney, latent, licenses, masked_lm, mixing, pii, repeats, simhash, sketch, urls
 from foliant.llm.common import table
 
 
@@ -49,5 +49,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_masked_lm, op2_repeats, op3_quality, op4_simhash, op5_sketch, op6_pii, op7_url_filter, op8_decontamination, op9_mixing)}
+    return {f.__name__: f for f in (op1_masked_lm, op2_repeats, op3_quality, op4_simhash, op5_sketch, op6_pii, op7_url_filter, op8_decontamination, op9_mixing, op10_licenses)}
