@@ -107,7 +107,10 @@ class Scanner:
         self.need = [max(1, int(sum(w in self.ids for w in words) * (least - (1 - least)))) for words in self.words]
 
     def scan(self, text: bytes) -> list[tuple[int, float, int, int]]:
-        """(template, coverage, first word, end) of the best window of each template that reaches the least coverage."""
+        """(template, coverage, first word, end) of the best window of each template that reaches the least coverage.
+
+        Of templates that lie over one another the best covered stays, the longest of equals.
+        """
         words = plain(text)
         get = self.ids.get
         ids = np.array([get(w, -1) for w in words], np.int64)
@@ -131,7 +134,11 @@ class Scanner:
                     best = (len(pairs), a + pairs[0][1], a + pairs[-1][1] + 1)
             if best:
                 found.append((t, best[0] / n, best[1], best[2]))
-        return found
+        kept: list[tuple[int, float, int, int]] = []
+        for f in sorted(found, key=lambda f: (-f[1], -len(self.words[f[0]]), f[0])):
+            if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):
+                kept.append(f)
+        return sorted(kept)
 
 
 def licenses(docs: DataFrame, templates=TEMPLATES, least: float = COVERAGE) -> DataFrame:
