@@ -236,9 +236,13 @@ def string_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counted(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with very many surroundings: equal strings meet in counts, no group in a task."""
+    """The same for anchors with very many surroundings: equal strings meet in an aggregate, no group in a task.
+
+    A string that holds several anchors comes up once for each, so it is places that have to differ.
+    """
     strings = contexts.select("key", "at", "from", "bytes").mapInArrow(string_rows, "hash binary, key long, `from` long")
-    more = strings.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    place = F.xxhash64("key", "from")
+    more = strings.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("hash")
     return strings.join(more, "hash").select("key", "from", (F.col("from") + LENGTH).alias("to"))
 
 
