@@ -1,0 +1 @@
+"""Operations on documents by name: one request, one DataFrame."""

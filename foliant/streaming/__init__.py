@@ -1,0 +1 @@
+"""New documents as they arrive, through the same operators."""
