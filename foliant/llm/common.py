@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import pyarrow as pa
@@ -42,6 +43,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """``df`` as a local table, which Spark then knows the size of and broadcasts, if it has up to ``limit`` rows; else as it is."""
+    rows = df.limit(limit + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, as after ``durable``."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows that go to a Python worker at once, so that long texts don't pile up there."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
