@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import geometry
 from foliant.functions import text as T
-from foliant.operators import graphs, measures, pages, retrieval, spatial
-from foliant.sources import html
+from foliant.operators import compare, forms, graphs, layout, measures, pages, retrieval, search, spatial
+from foliant.sources import html, pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -428,6 +429,106 @@ def escaped_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", T.html_escape(F.col("url")).alias("url"))
 
 
+@query()
+def compared_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against itself without some of its words."""
+    docs = read(spark, sf_dir, "documents")
+    pairs = docs.select("doc_id", F.col("text").alias("original"), F.regexp_replace("text", r"\b(the|de|der) ", "").alias("changed"))
+    return compare.marked(compare.compare(pairs, "doc_id")).select("doc_id", "change_no", "removed", "added", "kind", "comment")
+
+
+def sized_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyph_table(spark, sf_dir).withColumns({"size": F.lit(24.0), "width": F.lit(600.0), "height": F.lit(800.0)})
+
+
+@query()
+def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.runs(sized_glyphs(spark, sf_dir))
+
+
+@query()
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.blocks(sized_glyphs(spark, sf_dir))
+
+
+@query("""with p as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity as a, l_discount as b, l_tax as c, l_quantity + 1 as d, l_partkey % 7 as e, l_suppkey % 5 as f from lineitem),
+i as (select *, a * d - b * c as det from p)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(d / det, 6) as a, round((c * f - d * e) / det, 6) as e, round(a * 2 + c * 3 + e, 6) as x, round(b * 2 + d * 3 + f, 6) as y from i""")
+def affine_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity")
+    m = F.array(q, F.col("l_discount"), F.col("l_tax"), q + 1, (F.col("l_partkey") % 7).cast("double"), (F.col("l_suppkey") % 5).cast("double"))
+    framed = read(spark, sf_dir, "lineitem").withColumn("m", m)
+    inverse, at = geometry.inverted(F.col("m")), geometry.transformed(F.col("m"), F.lit(2.0), F.lit(3.0))
+    return framed.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(inverse[0], 6).alias("a"), F.round(inverse[4], 6).alias("e"), F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, ((l_partkey % 256 * 77 + l_suppkey % 256 * 150 + l_linenumber % 256 * 29) >> 8)::bigint as gray, round(0.299 * (l_partkey % 256) + 0.587 * (l_suppkey % 256) + 0.114 * l_linenumber, 6) as luminance from lineitem")
+def gray_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, g, b = F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.col("l_linenumber").cast("long") % 256
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", geometry.gray_of(r, g, b).alias("gray"), F.round(geometry.luminance(r, g, b), 6).alias("luminance"))
+
+
+@query("""with b as (select l_orderkey, l_partkey, (l_linenumber * 10)::integer as a, (l_linenumber * 10 + l_quantity)::integer as b from lineitem),
+m as (select *, max(b) over (partition by l_orderkey order by a, b rows between unbounded preceding and 1 preceding) as reach from b),
+i as (select *, sum(case when reach is null or a > reach then 1 else 0 end) over (partition by l_orderkey order by a, b rows between unbounded preceding and current row) as island from m)
+select l_orderkey, min(a) as a, max(b) as b from i group by l_orderkey, island""")
+def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.col("l_linenumber") * 10
+    spans = read(spark, sf_dir, "lineitem").select("l_orderkey", a.cast("int").alias("a"), (a + F.col("l_quantity")).cast("int").alias("b"))
+    return spatial.merged_intervals(spans, ["l_orderkey"])
+
+
+@query("select o_orderkey as source, o_orderpriority as name, o_orderstatus as kind, reverse(o_orderpriority) as value from orders where o_orderstatus <> 'F'")
+def changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as forms: open ones got a new value, the others kept theirs."""
+    p = F.col("o_orderpriority")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), p.alias("name"), F.col("o_orderstatus").alias("kind"), p.alias("value"))
+    values = orders.select("source", "name", F.when(F.col("kind") != "F", F.reverse("value")).otherwise(F.col("value")).alias("value"))
+    return forms.changed_fields(orders, values)
+
+
+WARNINGS = (("returned", "^R"), ("open", "O$"), ("finished", "."))
+
+
+@query("""with w as (select l_suppkey as source, case when starts_with(l_returnflag || l_linestatus, 'R') then 0 when ends_with(l_returnflag || l_linestatus, 'O') then 1 else 2 end as place from lineitem)
+select source, ['returned', 'open', 'finished'][place + 1] as kind, count(*) as n, place::integer as place from w group by source, place""")
+def repair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.concat("l_returnflag", "l_linestatus").alias("warning"))
+    return forms.repair_report(items, list(WARNINGS))
+
+
+@query("""with s as (select l_orderkey as list_id, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, case when l_quantity > 45 then l_linenumber end as value from lineitem),
+p as (select *, row_number() over (partition by list_id order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::integer as pos from s),
+g as (select *, count(value) over (partition by list_id order by pos) as stretch from p)
+select list_id, pos, (coalesce(first_value(value) over w, 3) + row_number() over w - 1)::integer as ordinal from g window w as (partition by list_id, stretch order by pos)""")
+def list_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    items = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("list_id"), F.row_number().over(order).alias("pos"), F.when(F.col("l_quantity") > 45, F.col("l_linenumber")).alias("value"), F.lit(3).alias("start"), F.lit(1).alias("step")
+    )
+    return measures.list_ordinals(items)
+
+
+@query("select doc_id, greatest(1, ((len(string_split(text, chr(10))) + 49) // 50))::integer as condition from documents")
+def pdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as PDF files of fifty lines to a page, and the number of pages that reading them finds."""
+    lines = F.split("text", "\n")
+    n = F.ceil(F.size(lines) / 50).cast("int")
+    split = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(lines, i * 50 + 1, F.lit(50)), "\n"))).alias("pos", "part"))
+    pages_ = split.select(F.col("doc_id").alias("out"), "pos", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit(0).alias("rotate"), pdf.drawn("part").alias("content"))
+    files = pdf.write_files(pages_).select(F.col("out").cast("string").alias("path"), F.col("file").alias("content"))
+    return pdf.conditions(pdf.read_pages(files)).select(F.col("path").cast("long").alias("doc_id"), "condition")
+
+
+TOOLS = ((0, "Merge PDF", "join combine", "organize"), (1, "Word to PDF", "docx convert", "convert"), (2, "PDF to Word", "docx convert", "convert"), (3, "Compress PDF", "shrink smaller", "optimize"), (4, "Split PDF", "cut pages", "organize"))
+
+
+@query()
+def tool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools = spark.createDataFrame(TOOLS, "pos int, label string, keywords string, category string")
+    return search.search(tools, "comprses")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 OBJECT = re.compile(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj\b", re.S)
 STREAM = re.compile(rb"^(.*?)\bstream\r?\n(.*?)\r?\n?endstream", re.S)
@@ -175,6 +176,12 @@ def text_content(text: str, size: float = 12.0, left: float = 72.0, top: float =
     return b"\n".join([*out, b"ET"])
 
 
+@F.pandas_udf(BinaryType())
+def drawn(text: pd.Series) -> pd.Series:
+    """The content of a page that draws each text."""
+    return text.map(lambda t: text_content(t or ""))
+
+
 def read_pages(files: DataFrame) -> DataFrame:
     """``path, status, page_no, width, height, rotate, content`` for ``files`` (path, content) as ``binaryFile`` gives them; an unreadable file has one row without a page."""
 
