@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import geometry
 from foliant.functions import text as T
 from foliant.operators import compare, forms, graphs, layout, measures, pages, retrieval, search, spatial
-from foliant.sources import html, pdf
+from foliant.sources import html, markdown, pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,7 +326,7 @@ def spilled_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {GLYPHS}, m as (select *, coalesce(abs((t + b) / 2 - (lag(t) over w + lag(b) over w) / 2) >= 0.05 / 2, true) as new_line, trim(text) = '' as blank, coalesce(trim(lag(text) over w) = '', true) as was_blank from glyphs window w as (partition by source, page_no order by glyph_no)),
 s as (select *, sum(new_line::integer) over w - 1 as line_no, sum((not blank and (new_line or was_blank))::integer) over w - 1 as word_no from m window w as (partition by source, page_no order by glyph_no rows between unbounded preceding and current row))
-select source, page_no, line_no::bigint as line_no, word_no::bigint as word_no, string_agg(text, '' order by glyph_no) as text, round(min(l), 6) as l, round(max(r), 6) as r from s where not blank group by source, page_no, line_no, word_no""")
+select source, page_no, line_no::bigint as line_no, word_no::bigint as word_no, string_agg(text, '' order by glyph_no) as text, round(min(l)::double, 6) as l, round(max(r)::double, 6) as r from s where not blank group by source, page_no, line_no, word_no""")
 def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = spatial.words(glyph_table(spark, sf_dir))
     return w.select("source", "page_no", "line_no", "word_no", "text", F.round("l", 6).alias("l"), F.round("r", 6).alias("r"))
@@ -462,7 +462,7 @@ def affine_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framed.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(inverse[0], 6).alias("a"), F.round(inverse[4], 6).alias("e"), F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"))
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, ((l_partkey % 256 * 77 + l_suppkey % 256 * 150 + l_linenumber % 256 * 29) >> 8)::bigint as gray, round(0.299 * (l_partkey % 256) + 0.587 * (l_suppkey % 256) + 0.114 * l_linenumber, 6) as luminance from lineitem")
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, ((l_partkey % 256 * 77 + l_suppkey % 256 * 150 + l_linenumber % 256 * 29) >> 8)::bigint as gray, round((0.299 * (l_partkey % 256) + 0.587 * (l_suppkey % 256) + 0.114 * l_linenumber)::double, 6) as luminance from lineitem")
 def gray_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, g, b = F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.col("l_linenumber").cast("long") % 256
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", geometry.gray_of(r, g, b).alias("gray"), F.round(geometry.luminance(r, g, b), 6).alias("luminance"))
@@ -520,6 +520,24 @@ def pdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.conditions(pdf.read_pages(files)).select(F.col("path").cast("long").alias("doc_id"), "condition")
 
 
+@query("select conv_id, string_agg(case when role = 'user' then '## ' || text else text end, chr(10) || chr(10) order by turn) as markdown from conversations group by conv_id")
+def chat_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.conversation(read(spark, sf_dir, "conversations"))
+
+
+@query(f"""with {PARS}, p as (select doc_id, page_no, trim(string_agg(text, chr(10) order by par_no), ' ') as text from pars group by all)
+select doc_id, coalesce(regexp_replace(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page_no) filter (where text <> ''), '\\*\\*(\\s*)\\*\\*', '\\1', 'g'), '') as markdown from p group by doc_id""")
+def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = pars(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("par_no", "text"))).alias("ls"))
+    return markdown.document(lines.select("doc_id", "page_no", F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("text")))
+
+
+@query(f"with {PAGES}, c as (select source as job, page_no - 1 as part, count(*) over (partition by source) as n from pages) select job, part::integer as part, case when n = 1 then 'page.pdf' else 'page-' || lpad((part + 1)::varchar, length(n::varchar)::integer, '0') || '.pdf' end as name from c")
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = page_table(spark, sf_dir).select(F.col("source").alias("job"), (F.col("page_no") - 1).alias("part"))
+    return markdown.part_names(parts, "page", "pdf")
+
+
 TOOLS = ((0, "Merge PDF", "join combine", "organize"), (1, "Word to PDF", "docx convert", "convert"), (2, "PDF to Word", "docx convert", "convert"), (3, "Compress PDF", "shrink smaller", "optimize"), (4, "Split PDF", "cut pages", "organize"))
 
 

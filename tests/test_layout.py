@@ -115,3 +115,21 @@ def test_pictures():
         a, b, c, d, e, f = imaging.placed(turned, 1.0, 2.0, 3.0, 4.0)
         corners = {(round(a * x + c * y + e, 6), round(b * x + d * y + f, 6)) for x in (0, 1) for y in (0, 1)}
         assert corners == {(1.0, 2.0), (4.0, 2.0), (1.0, 6.0), (4.0, 6.0)}
+
+
+def test_markdown(spark):
+    import io
+    import zipfile
+
+    from foliant.sources import markdown
+
+    points = spark.createDataFrame([(1, "T", "Over.", 1, "b", 3), (1, "T", "Over.", 0, "a", 2), (2, "U", "", 0, "c", 1)], "doc_id int, title string, overview string, point_no int, text string, page_no int")
+    got = {r.doc_id: r.markdown for r in markdown.summary(points).collect()}
+    assert got == {1: "# Summary of T\n\nOver.\n\n- a (page 2)\n- b (page 3)", 2: "# Summary of U\n\n- c (page 1)"}
+    pages = spark.createDataFrame([(1, 2, "**a** **b**"), (1, 1, " x "), (1, 3, " ")], "doc_id int, page_no int, text string")
+    assert markdown.document(pages).first().markdown == "x\n\n---\n\n**a b**"
+    texts = spark.createDataFrame([("﻿intro\n## A *b* `c` #\n# d",), ("none",)], "m string")
+    assert [r.t for r in texts.select(markdown.title(F.col("m")).alias("t")).collect()] == ["A b c", ""]
+    parts = spark.createDataFrame([(1, 0, b"x"), (2, 0, b"y"), (2, 1, b"z")], "job int, part int, file binary")
+    files = {r.job: (bytes(r.file), r.format) for r in markdown.zipped(markdown.part_names(parts, "p", "pdf")).collect()}
+    assert files[1] == (b"x", "pdf") and zipfile.ZipFile(io.BytesIO(files[2][0])).namelist() == ["p-1.pdf", "p-2.pdf"]
