@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -10,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import batches, rows_of, texts
+from foliant.llm.common import batches, durable, rows_of, texts
 
-#: Words with an id of their own; rarer words share SHAPES ids by a hash of their last two bytes and their length.
+#: Words with an id of their own; rarer words share SHAPES ids by their last byte and their length.
 WORDS, SHAPES, CLASSES = 4096, 64, 64
 #: Tokens to each side, width of the network, minibatch, step.
 SIDE, HIDDEN, BATCH, RATE, SEED = 2, 32, 2048, 0.5, 11
 OFFSETS = tuple(o for o in range(-SIDE, SIDE + 1) if o)
 EDGE = 0
+HEADS = pa.schema([("word", pa.binary()), ("shape", pa.int32()), ("n", pa.int64())])
 COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
 
@@ -34,7 +36,7 @@ def count_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shape(word: bytes) -> int:
-    return (sum(word[-2:]) * 7 + len(word)) % SHAPES
+    return (word[-1] * 7 + len(word)) % SHAPES
 
 
 class Vocabulary:
@@ -60,7 +62,7 @@ class Vocabulary:
 
     def encode(self, text: bytes) -> np.ndarray:
         get = self.ids.get
-        return np.array([get(w) or 1 + shape(w) for w in text.split()], np.int32)
+        return np.array([get(w) or (w[-1] * 7 + len(w)) % SHAPES + 1 for w in text.split()], np.uint16 if self.size < 1 << 16 else np.int32)
 
 
 def start(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
@@ -100,12 +102,13 @@ def step(w: dict[str, np.ndarray], sides: np.ndarray, wanted: np.ndarray, rate:
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         sums = np.add.reduceat(back[order], first, axis=0)
         # Frequent tokens take the mean of their rows' slopes at this rate, rare ones a share of it.
-        w["inputs"][i][ids[first]] -= rate * sums / np.sqrt(n * np.diff(np.append(first, n)))[:, None]
+        share = rate / np.sqrt(n * np.diff(np.append(first, n)))
+        w["inputs"][i][ids[first]] -= sums * share.astype(np.float32)[:, None]
 
 
 def windows(encoded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sides (a row for an offset) and centres of all tokens of some texts; edges stand between texts."""
-    pad = np.full(SIDE, EDGE, np.int32)
+    pad = np.full(SIDE, EDGE, encoded[0].dtype)
     line = np.concatenate([pad, *[x for e in encoded for x in (e, pad)]])
     at = np.flatnonzero(line != EDGE)
     return np.stack([line[at + o] for o in OFFSETS]), line[at]
@@ -144,16 +147,21 @@ def vocabulary_of(docs: DataFrame, words: int = WORDS) -> Vocabulary:
     """Counts every word of every text; the most frequent have ids of their own, the rest are summed by shape."""
     counts = docs.select("text").mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    def shapes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
+    def heads(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The most frequent words of a part of the words, and the sums of all of its words by shape."""
+        sums, top = [0] * SHAPES, []
         for batch in parts:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            pairs = list(zip(batch.column("n").to_pylist(), batch.column("word").to_pylist(), strict=True))
+            for n, word in pairs:
                 sums[shape(word)] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], ["shape", "n"])
+            top = heapq.nsmallest(words, top + [(-n, word) for n, word in pairs])
+        yield rows_of({"word": [w for _, w in top], "shape": [-1] * len(top), "n": [-n for n, _ in top]}, HEADS)
+        yield rows_of({"word": [b""] * SHAPES, "shape": list(range(SHAPES)), "n": sums}, HEADS)
 
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()  # a bounded vocabulary
+    found = durable(counts.mapInArrow(heads, "word binary, shape int, n long"))
+    top = found.where("shape < 0").orderBy(F.desc("n"), "word").limit(words).collect()  # a bounded vocabulary
     known = [bytes(r.word) for r in top]
-    rest = {r["shape"]: r.n for r in counts.mapInArrow(shapes, "shape int, n long").groupBy("shape").agg(F.sum("n").alias("n")).collect()}
+    rest = {r["shape"]: r.n for r in found.where("shape >= 0").groupBy("shape").agg(F.sum("n").alias("n")).collect()}
     for r in top:
         rest[shape(bytes(r.word))] -= r.n
     return Vocabulary(known, [r.n for r in top], [rest.get(i, 0) for i in range(SHAPES)])
