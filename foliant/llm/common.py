@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a compressed table in the shared folder, and a function that deletes it once nothing reads it any more.
+
+    For large intermediate results, which ``durable`` would write uncompressed.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    return spark.read.parquet(path), drop
+
+
 def small(df: DataFrame, limit: int = 10_000) -> DataFrame:
     """``df`` as a local table, which Spark then knows the size of and broadcasts, if it has up to ``limit`` rows; else as it is."""
     rows = df.limit(limit + 1).collect()

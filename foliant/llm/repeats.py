@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import batches, durable, rows_of, texts
+from foliant.llm.common import batches, durable, release, rows_of, stored, texts
 
 #: Strings of so many bytes count; anchors are cores of CORE bytes, and every string holds one that its content alone picks.
 LENGTH, CORE = 200, 64
 REACH = LENGTH - CORE
 #: Anchors with up to so many different surroundings are sorted within a task; those with more are settled by aggregates.
-GROUP_LIMIT = 4096
+GROUP_LIMIT = 32_768
 #: Texts are read for anchors in pieces of so many bytes, whatever their length.
 PIECE = 1 << 18
 
@@ -34,26 +34,52 @@ def grams(raw: np.ndarray) -> np.ndarray:
     return value >> np.uint64(32)
 
 
+def least_places(raw: np.ndarray) -> np.ndarray:
+    """For each string of LENGTH bytes the place of its core: the leftmost least value among those whose core lies inside."""
+    n = len(raw) - CORE + 1
+    least, width = (grams(raw)[:n] << np.uint64(32)) | np.arange(n, dtype=np.uint64), 1
+    while width * 2 <= REACH + 1:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    rest = REACH + 1 - width
+    if rest:
+        least = np.minimum(least[:-rest], least[rest:])
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def changes(at: np.ndarray) -> np.ndarray:
+    return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+
+
 def anchors(text: bytes) -> np.ndarray:
-    """Starts of the cores: in each string of LENGTH bytes the leftmost least value among those whose core lies inside."""
+    """Starts of the cores of a text, read in pieces."""
     if len(text) < LENGTH:
         return np.empty(0, np.int64)
-    out, whole, last = [], np.frombuffer(text, np.uint8), -1
-    for start in range(0, len(text) - LENGTH + 1, PIECE):
-        raw = whole[start : start + PIECE + LENGTH - 1]
-        key = (grams(raw)[: len(raw) - CORE + 1] << np.uint64(32)) | np.arange(len(raw) - CORE + 1, dtype=np.uint64)
-        width, least = 1, key
-        while width * 2 <= REACH + 1:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        rest = REACH + 1 - width
-        if rest:
-            least = np.minimum(least[:-rest], least[rest:])
-        at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64) + start
-        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-        out.append(at[at != last])
-        last = int(at[-1])
-    return np.unique(np.concatenate(out))
+    whole = np.frombuffer(text, np.uint8)
+    return np.unique(np.concatenate([changes(least_places(whole[s : s + PIECE + LENGTH - 1])) + s for s in range(0, len(text) - LENGTH + 1, PIECE)]))
+
+
+def all_anchors(documents: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the document, starts of its cores); short texts are read together."""
+    together, size = [], 0
+    for i, text in enumerate(documents):
+        if len(text) >= PIECE:
+            yield i, anchors(text)
+        elif len(text) >= LENGTH:
+            together.append(i)
+            size += len(text)
+        if together and (size >= PIECE or i == len(documents) - 1):
+            lengths = np.array([len(documents[j]) for j in together])
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            places = least_places(np.frombuffer(b"".join([documents[j] for j in together]), np.uint8))
+            inside = np.zeros(size + 1, np.int8)  # strings that lie within one document
+            inside[starts] += 1
+            inside[starts + lengths - LENGTH + 1] -= 1
+            at = changes(places[np.cumsum(inside)[: len(places)] > 0])
+            cuts = np.searchsorted(at, starts)
+            for j, own, start in zip(together, np.split(at, cuts[1:]), starts.tolist(), strict=True):
+                yield j, own - start
+            together, size = [], 0
 
 
 def around(text: bytes, at: int) -> tuple[int, int]:
@@ -65,10 +91,9 @@ def anchor_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
     for batch in parts:
         keys, places, cores, rounds = [], [], [], []
-        for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
-            at = anchors(text)
-            if not len(at):
-                continue
+        names, documents = batch.column("key").to_pylist(), texts(batch)
+        for i, at in all_anchors(documents):
+            key, text = names[i], documents[i]
             spots = at.tolist()
             keys.append(np.full(len(at), key, np.int64))
             places.append(at)
@@ -82,15 +107,18 @@ def anchor_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 WHOLE, SORTED, COUNTED = 0, 1, 2
 
 
-def statuses(found: DataFrame, limit: int) -> DataFrame:
-    """``key, at, core, status, extra`` for anchors whose core occurs again; extra marks a representative of a whole one.
+def repeated(found: DataFrame) -> DataFrame:
+    """``key, at, core, around, mixed`` for anchors whose core occurs again; mixed tells whether its surroundings differ.
 
     Only counts and least values are gathered for a core, and joins on it are inner joins, which Spark splits
     where a core is frequent.
     """
     cores = found.groupBy("core").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
-    again = found.join(cores.select("core", (F.col("low") != F.col("high")).alias("mixed")), "core")
-    again = durable(again)
+    return found.join(cores.select("core", (F.col("low") != F.col("high")).alias("mixed")), "core")
+
+
+def statuses(again: DataFrame, limit: int) -> DataFrame:
+    """``key, at, core, status`` for anchors whose core occurs again."""
     occurrence = F.xxhash64("key", "at")
     rounds = again.where("mixed").groupBy("core", "around").agg(F.count("*").alias("n"), F.min(occurrence).alias("first"))
     sizes = rounds.groupBy("core").agg(F.count("*").alias("kinds"))
@@ -112,7 +140,7 @@ def cut_contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         out: dict[str, list] = {f.name: [] for f in CONTEXT_SCHEMA}
         for key, text, spots in zip(batch.column("key").to_pylist(), texts(batch), batch.column("spots").to_pylist(), strict=True):
-            for spot in spots:
+            for spot in spots or ():
                 if spot["status"] != WHOLE:
                     a, b = around(text, spot["at"])
                     for name, value in (("key", key), ("core", spot["core"]), ("at", spot["at"]), ("from", a), ("status", spot["status"]), ("bytes", text[a:b])):
@@ -123,11 +151,13 @@ def cut_contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_of(out, CONTEXT_SCHEMA)
 
 
-def nearest_smaller(position: np.ndarray) -> np.ndarray:
-    """For each place of an array the one before it with the nearest smaller value, -1 without any; by pointer jumps."""
+def nearest_smaller(position: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """For each place the one before it in its run with the nearest smaller position, -1 without any; by pointer jumps."""
     before = np.arange(len(position)) - 1
+    before[np.concatenate([[True], run[1:] != run[:-1]])] = -1
+    moving = np.flatnonzero(before >= 0)
     while True:
-        moving = np.flatnonzero(before >= 0)
+        moving = moving[before[moving] >= 0]
         moving = moving[position[before[moving]] >= position[moving]]
         if not len(moving):
             return before
@@ -168,14 +198,14 @@ def factors(group: np.ndarray, left: np.ndarray, buffer: np.ndarray, anchor: np.
         start = anchor[suffixes] - back
         equal = np.zeros(len(suffixes), bool)  # whether the common prefix with the suffix before reaches LENGTH
         equal[pair + 1] = (lines[start[pair]] == lines[start[pair + 1]]).all(1)
-        run = np.cumsum(~equal)
+        run = np.cumsum(~equal)  # the intervals of suffixes that share LENGTH bytes; factors beyond them are shorter
+        several = np.flatnonzero(np.bincount(run)[run] > 1)
+        suffixes, run = suffixes[several], run[several]
+        if not len(run):
+            continue
         for sign in (1, -1):
-            position = sign * suffixes
             for way in (slice(None), slice(None, None, -1)):
-                near = nearest_smaller(position[way])
-                runs = run[way]
-                hit = (near >= 0) & (runs[near] == runs)
-                out[suffixes[way][hit], back] = True
+                out[suffixes[way][nearest_smaller(sign * suffixes[way], run[way]) >= 0], back] = True
     return out
 
 
@@ -265,18 +295,23 @@ def with_repeats(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     distance. Surroundings that occur twice are repeated as a whole and need only their count; those that
     differ while their core is shared are cut out of the texts and sorted.
     """
-    found = docs.mapInArrow(anchor_rows, "key long, at long, core long, around long")
-    status = statuses(found, limit).groupBy("key").agg(F.collect_list(F.struct("at", "core", "status")).alias("spots"))
-    spotted = durable_status(status)
-    contexts = durable(docs.join(spotted.where("compare"), "key").select("key", "text", "spots").mapInArrow(cut_contexts, CONTEXTS))
+    spark = docs.sparkSession
+    found = docs.select("key", "text").mapInArrow(anchor_rows, "key long, at long, core long, around long")
+    again, drop = stored(repeated(found))
+    release(spark)
+    spots = durable(statuses(again, limit).groupBy("key").agg(F.collect_list(F.struct("at", "core", "status")).alias("spots")))
+    drop()
+    del found, again
+    release(spark)
+    # Both uses of the texts read one and the same exchange.
+    spotted = docs.join(spots, "key", "left")
+    contexts = spotted.mapInArrow(cut_contexts, CONTEXTS)
     ordered = contexts.where(F.col("status") == SORTED).repartition("core").sortWithinPartitions("core", "key", "at")
-    ranges = ordered.mapInArrow(sort_groups, "key long, `from` long, `to` long").union(counted(contexts.where(F.col("status") == COUNTED)))
+    ranges = ordered.mapInArrow(sort_groups, "key long, `from` long, `to` long")
+    if spots.where(F.exists("spots", lambda s: s["status"] == COUNTED)).limit(1).count():
+        ranges = ranges.union(counted(contexts.where(F.col("status") == COUNTED)))
     ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
-    return docs.join(spotted.select("key", "spots"), "key", "left").join(ranges, "key", "left")
-
-
-def durable_status(status: DataFrame) -> DataFrame:
-    return durable(status.withColumn("compare", F.exists("spots", lambda s: s["status"] != WHOLE)))
+    return spotted.join(ranges, "key", "left")
 
 
 CUT = pa.schema([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("kept", pa.binary())])
