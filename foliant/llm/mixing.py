@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WORD, durable
+from foliant.llm.common import WORD, durable, small
 
 WEIGHTS, SHARE, EPOCHS, SEED, DIGITS = (5, 2, 1), 1.5, 2, 17, 4
 
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     docs = docs.drop("size", "source_size", "target", "times")
     sizes = durable(docs.select("source", words(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("draw")))
     per = plan(sizes, targets(sizes, weights, share, epochs), epochs)
-    per = durable(per.select(F.struct("*").alias("_mix")))
+    per = small(durable(per.select(F.struct("*").alias("_mix"))))
     out = docs.withColumns({"_size": words(F.col("text")), "_draw": draw(F.col("doc_id"), seed)})
     out = out.join(per, F.col("source").eqNullSafe(F.col("_mix.source")))
     times = F.col("_mix.repeats") + F.when(F.col("_draw") <= F.col("_mix.edge"), 1).otherwise(0)
