@@ -150,6 +150,19 @@ def test_leaks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in latent.leaks(docs, benchmark).collect()} == found
 
 
+def test_leak_beside_heavier_windows(spark):
+    rng = random.Random(15)
+    item = [f"q{i}" for i in range(40)]
+    noise = [f"z{i}" for i in range(400)]
+    shuffled = [rng.sample(item, 40) for _ in range(6)]  # as heavy as the copy, or heavier, but out of order
+    heavy = [w for w in item[:20] for _ in range(1)] * 4
+    true = [w if j % 5 else "changed" for j, w in enumerate(item)]
+    rows = [(0, " ".join([w for s in shuffled[:3] for w in s] + true + [w for s in shuffled[3:] for w in s]), "en"), (1, " ".join(true + heavy[::-1]), "en")]
+    rows += [(2, " ".join(w for s in shuffled for w in s), "en")] + [(10 + i, " ".join(rng.sample(noise, 60)), "en") for i in range(60)]
+    benchmark = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(noise[:30]))], "item_id long, text string")
+    assert {r.doc_id for r in latent.leaks(frame(spark, rows), benchmark).collect() if r.item_id == 0} == {0, 1}
+
+
 def test_randomised_decomposition_spans_the_items(spark):
     rng = random.Random(6)
     terms = sorted(f"t{i:03d}".encode() for i in range(80))
