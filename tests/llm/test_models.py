@@ -163,6 +163,19 @@ def test_leak_beside_heavier_windows(spark):
     assert {r.doc_id for r in latent.leaks(frame(spark, rows), benchmark).collect() if r.item_id == 0} == {0, 1}
 
 
+def test_leak_in_many_documents(spark):
+    rng = random.Random(16)
+    hot, rare, noise = [f"h{i}" for i in range(30)], [f"r{i}" for i in range(30)], [f"z{i}" for i in range(500)]
+    some = lambda n: [rng.choice(noise) for _ in range(n)]
+    edited = [w if j % 6 else "changed" for j, w in enumerate(hot)]
+    rows = [(i, " ".join(some(40) + ([], hot, edited)[i % 3] + some(20) + (rare if i == 9 else [])), "en") for i in range(90)]
+    benchmark = spark.createDataFrame([(0, " ".join(hot)), (1, " ".join(rare))], "item_id long, text string")
+    want = {(i, 0) for i in range(90) if i % 3} | {(9, 1)}
+    assert {(r.doc_id, r.item_id) for r in latent.leaks(frame(spark, rows), benchmark).collect()} == want
+    everywhere = [(i, f"{' '.join(some(30) + hot)}", "en") for i in range(20)]
+    assert latent.without_leaks(frame(spark, everywhere), benchmark).count() == 0
+
+
 def test_randomised_decomposition_spans_the_items(spark):
     rng = random.Random(6)
     terms = sorted(f"t{i:03d}".encode() for i in range(80))
