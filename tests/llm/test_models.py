@@ -176,6 +176,22 @@ def test_leak_in_many_documents(spark):
     assert latent.without_leaks(frame(spark, everywhere), benchmark).count() == 0
 
 
+def test_leaks_of_more_items_than_dimensions(spark, monkeypatch):
+    rng = random.Random(17)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgkmnt" for b in "aeiou" for c in "nrstlmxpbckdfg"]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [some(35) for _ in range(300)]
+    edited = [[w if j % 4 else "changed" for j, w in enumerate(item)] for item in items]
+    apart = [[w if j % 10 not in (2, 5, 8) else "changed" for j, w in enumerate(item)] for item in items]  # few runs of three
+    rows = [(i, " ".join(some(rng.randint(5, 90)) + (items, edited, apart)[i % 3][i] + some(30)), "en") for i in range(300)]
+    rows += [(1000 + i, " ".join(some(120)), "en") for i in range(100)] + [(2000, "yes", "en"), (2001, "such words elsewhere", "en")]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(500, "yes")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in latent.leaks(frame(spark, rows), benchmark, rank=8).collect()}
+    assert got == {(i, i) for i in range(300)} | {(2000, 500)}
+    monkeypatch.setattr(latent, "PART_ITEMS", 100)
+    assert {(r.doc_id, r.item_id) for r in latent.leaks(frame(spark, rows), benchmark, rank=8).collect()} == got
+
+
 def test_randomised_decomposition_spans_the_items(spark):
     rng = random.Random(6)
     terms = sorted(f"t{i:03d}".encode() for i in range(80))
