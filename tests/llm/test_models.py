@@ -95,6 +95,17 @@ def test_quality_by_brute_force(spark, monkeypatch):
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0
 
 
+def test_toxic_text_is_not_trusted(spark):
+    rng = random.Random(18)
+    rows = [(i, grammar(rng, 40), "en") for i in range(400)]
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(23)}" for _ in range(40)), "en") for i in range(50)]
+    labels = [(i, 1, 0 if i % 2 else None) for i in range(400)] + [(1000 + i, 1, 1) for i in range(50)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in kneser_ney.chosen(labels).collect()} <= set(range(400))
+    got = {r.doc_id: r.keep for r in kneser_ney.classify(frame(spark, rows), labels, 150).collect()}
+    assert np.mean([got[i] for i in range(400)]) >= 0.97 and np.mean([not got[1000 + i] for i in range(50)]) > 0.9
+
+
 def test_lcs():
     rng = random.Random(4)
     for _ in range(100):
