@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -107,9 +108,10 @@ class Scanner:
         self.need = [max(1, int(sum(w in self.ids for w in words) * (least - (1 - least)))) for words in self.words]
 
     def scan(self, text: bytes) -> list[tuple[int, float, int, int]]:
-        """(template, coverage, first word, end) of the best window of each template that reaches the least coverage.
+        """(template, coverage, first word, end) of the best place of each template that reaches the least coverage.
 
-        Of templates that lie over one another the best covered stays, the longest of equals.
+        All places of all templates are settled, the best covered first, the longest template of equals; a window that has
+        words of a settled place is aligned again in the parts between. The best place left to a template is reported.
         """
         words = plain(text)
         get = self.ids.get
@@ -117,34 +119,46 @@ class Scanner:
         at = np.flatnonzero(ids >= 0)
         if not len(at):
             return []
-        found = []
+        waiting: list[tuple] = []
         kinds = ids[at]
+
+        def place(t: int, a: int, b: int) -> None:
+            own = self.words[t]
+            pairs = aligned(own, words[a:b])
+            if pairs and len(pairs) >= self.least * len(own):
+                heappush(waiting, (-len(pairs) / len(own), -len(own), t, a, b, a + pairs[0][1], a + pairs[-1][1] + 1))
+
         for t, own in enumerate(self.words):
             hits = at[self.of[t, kinds]]
             if len(hits) < self.need[t]:
                 continue
-            n, best = len(own), None
+            n = len(own)
             # Windows of twice the template, one template apart, hold any place of the template's length.
             for start in sorted({s for h in np.unique(hits // n).tolist() for s in (max(0, h - 1), h)}):
                 a, b = start * n, start * n + 2 * n
                 if np.searchsorted(hits, b) - np.searchsorted(hits, a) < self.need[t]:
                     continue
-                pairs = aligned(own, words[a:b])
-                if pairs and len(pairs) >= self.least * n and (best is None or len(pairs) > best[0]):
-                    best = (len(pairs), a + pairs[0][1], a + pairs[-1][1] + 1)
-            if best:
-                found.append((t, best[0] / n, best[1], best[2]))
-        kept: list[tuple[int, float, int, int]] = []
-        for f in sorted(found, key=lambda f: (-f[1], -len(self.words[f[0]]), f[0])):
-            if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):
-                kept.append(f)
-        return sorted(kept)
+                place(t, a, min(b, len(words)))
+        best: dict[int, tuple[int, float, int, int]] = {}
+        taken: list[tuple[int, int]] = []  # in rising order, apart
+        while waiting:
+            less, _, t, a, b, first, end = heappop(waiting)
+            i = bisect_left(taken, (first, first))
+            if (i == len(taken) or taken[i][0] >= end) and (i == 0 or taken[i - 1][1] <= first):
+                taken.insert(i, (first, end))
+                best.setdefault(t, (t, -less, first, end))
+            i = bisect_left(taken, (a, a))
+            for x, y in [*taken[max(0, i - 1) : bisect_left(taken, (b, b))], (b, b)]:
+                if x - a >= self.least * len(self.words[t]):
+                    place(t, a, x)
+                a = max(a, y)
+        return sorted(best.values())
 
 
 def licenses(docs: DataFrame, templates=TEMPLATES, least: float = COVERAGE) -> DataFrame:
     """``doc_id, license, form, coverage, first_word, end_word``: a row for each row of ``docs`` and each template found in it.
 
-    Coverage is the part of the template's words that patience alignment finds in the best window. Texts are read
+    Coverage is the part of the template's words that patience alignment finds in the best place that no better template has. Texts are read
     whole; null and empty texts have no license; repeated rows give the same rows each. Templates are few and travel
     with the function; no row moves between tasks.
     """

@@ -252,6 +252,19 @@ def test_licenses(spark):
     assert licenses.licenses(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_licenses_beside_similar_ones(spark):
+    by = {f"{n} {f}": t for n, f, t in licenses.TEMPLATES}
+    gpl2 = by["GPL-2.0 notice"].replace("This work", "That work")
+    rows = [
+        (1, by["CC-BY-NC-4.0 notice"] + " x" * 30 + " " + by["CC-BY-4.0 notice"], None), (2, by["CC-BY-NC-4.0 notice"] + " " + by["CC-BY-4.0 notice"], None),
+        (3, by["GPL-3.0 notice"] + " x" * 20 + " " + gpl2, None), (4, by["Apache-2.0 header"] + " x" * 50 + " " + by["Apache-2.0 notice"], None),
+        (5, (by["CC-BY-NC-4.0 notice"] + " x" * 9 + " ") * 4, None), (6, by["Apache-2.0 header"], None),
+    ]
+    got = {(r.doc_id, r.license, r.form) for r in licenses.licenses(frame(spark, rows)).collect()}
+    want = {(i, n, "notice") for i in (1, 2) for n in ("CC-BY-NC-4.0", "CC-BY-4.0")} | {(3, "GPL-3.0", "notice"), (3, "GPL-2.0", "notice")}
+    assert got == want | {(4, "Apache-2.0", "header"), (4, "Apache-2.0", "notice"), (5, "CC-BY-NC-4.0", "notice"), (6, "Apache-2.0", "header")}
+
+
 @pytest.fixture(scope="session")
 def corpus(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("corpus"))
