@@ -24,18 +24,17 @@ def shared_folder(spark: SparkSession) -> None:
     """Makes sure that checkpoints go to a folder which all executors see.
 
     The folder the cluster names in ``spark.checkpoint.dir`` is used as it is. Where it is unset, a
-    local session (as in tests) takes a temporary folder and a cluster takes one in its warehouse.
+    local session (as in tests) takes a temporary folder. A cluster has to name one: a folder of one machine
+    would lose what the others wrote.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     named = context.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = (
-            tempfile.mkdtemp(prefix="foliant-")
-            if context.master.startswith("local[") or context.master == "local"
-            else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        )
+        if not (context.master.startswith("local[") or context.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="foliant-")
     context.setCheckpointDir(named)
 
 
@@ -45,21 +44,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """``df`` as a compressed table in the shared folder, and a function that deletes it once nothing reads it any more.
+def stored(df: DataFrame, *by: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a compressed table in the shared folder (in folders ``by`` columns), and a function that deletes it once nothing reads it any more.
 
     For large intermediate results, which ``durable`` would write uncompressed.
     """
     spark = df.sparkSession
     shared_folder(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
 
     def drop() -> None:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    return spark.read.parquet(path), drop
+    return spark.read.schema(df.schema).parquet(path), drop
 
 
 def small(df: DataFrame, limit: int = 10_000) -> DataFrame:
@@ -74,9 +73,10 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows that go to a Python worker at once, so that long texts don't pile up there."""
+def batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bounds the rows and the bytes that go to a Python worker at once, so that long texts don't pile up there."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

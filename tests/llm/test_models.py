@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import common, kneser_ney, latent, licenses, masked_lm, mixing, pii, simhash
+from foliant.llm import common, kneser_ney, latent, licenses, masked_lm, mixing, pii, simhash, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, nats string"
 
@@ -40,14 +41,74 @@ def test_masked_lm_learns_order(spark):
     assert masked_lm.score(frame(spark, []).limit(0)).count() == 0
 
 
+def some_vocabulary(rng):
+    words = np.array([rng.randrange(1 << 63) for _ in range(200)], np.uint64)
+    return masked_lm.Vocabulary(words, np.arange(400, 200, -1), np.arange(256) % 7)
+
+
 def test_masked_lm_probabilities_sum_to_one():
-    words = [f"w{i}".encode() for i in range(200)]
-    v = masked_lm.Vocabulary(words, list(range(400, 200, -1)), [3] * masked_lm.SHAPES)
-    w = masked_lm.start(v)
-    _, logs = masked_lm.forward(w, np.array([[5, 80], [0, 7], [70, 3], [0, 0]]))
+    v = some_vocabulary(random.Random(2))
+    _, _, mass, total = masked_lm.forward(masked_lm.start(v), np.array([[5, 80, 0, 7], [70, 3, 0, 0]]))
     ids = np.arange(1, v.size)
-    total = np.exp(logs[:, v.classes[ids]] + v.within[ids]).sum(1)
-    assert total == pytest.approx([1, 1], abs=1e-3)
+    assert ((mass / total)[v.classes[ids]] * np.exp(v.within[ids])[:, None]).sum(0) == pytest.approx([1, 1], abs=1e-3)
+    for own in range(1, masked_lm.SHAPES + 1):  # the last byte within its shape
+        assert np.exp(v.last[masked_lm.shape(np.arange(256)) == own]).sum() == pytest.approx(1)
+    table = masked_lm.spelling(np.arange(0, 5000, 3), np.arange(1667) % 9)
+    assert np.exp(table.reshape(-1, 256) / masked_lm.UNIT).sum(1) == pytest.approx(np.ones(masked_lm.CONTEXTS), abs=1e-3)
+
+
+def test_masked_lm_by_brute_force():
+    rng = random.Random(21)
+    texts = [None, "", " \t ", "one", "a b c d e f", "Zürich ist schön, 12 mal", " ".join(rng.choice(["the", "of", "xyz", "q"]) for _ in range(9000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    known = tokens.words_of(0, np.frombuffer(b"the of", np.uint8), np.array([0, 6])).hashes
+    v = masked_lm.Vocabulary(known, np.array([9, 5]), np.ones(256, np.int64))
+    w = masked_lm.start(v)
+    table = masked_lm.spelling(np.arange(0, 9000, 2), np.arange(4500) % 11)
+    sizes, sums = masked_lm.scored(batch, w, v, table)
+    place = {b"the": int(v.ids[v.keys == known[0]][0]), b"of": int(v.ids[v.keys == known[1]][0])}
+    for text, n, total in zip(texts, sizes, sums, strict=True):
+        words = (text or "").encode().split()
+        assert n == len(words)
+        ids = [place.get(x) or (x[-1] & 63) + 1 for x in words]
+        want = 0.0
+        for i, word in enumerate(words):
+            x = np.concatenate([w["vectors"][ids[i + o] if 0 <= i + o < n else 0] for o in (-2, -1, 1, 2)]).astype(float)
+            logits = w["out"].astype(float) @ np.tanh(x @ w["mix"] + w["bias"]) + w["prior"]
+            want += logits[v.classes[ids[i]]] - np.log(np.exp(logits).sum()) + v.within[ids[i]]
+            if word not in place:
+                want += v.last[word[-1]]
+                for j in range(len(word)):
+                    context = masked_lm.BYTE_CLASS[word[j]] * 33 + (masked_lm.BYTE_CLASS[word[j + 1]] if j + 1 < len(word) else 32)
+                    want += table[context * 256 + (word[j - 1] if j else 32)] / masked_lm.UNIT
+        assert total == pytest.approx(want, abs=0.02)
+
+
+def test_words_of_texts_in_pieces():
+    rng = random.Random(22)
+    texts = ["", " ", "ab cd"] + ["".join(rng.choice("ab \n\x85é") for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["x" * 300 + " y", "long " * 100]
+    raw, offsets = tokens.bytes_of(pa.RecordBatch.from_arrays([pa.array([*texts, None])], ["text"]).slice(1))
+    of = {}
+    for piece in (1, 7, 64, 1 << 18):
+        found = [[] for _ in range(len(texts))]
+        for words in tokens.split(raw, offsets, piece):
+            at = 0
+            for i, n in enumerate(words.counts.tolist()):
+                for a, b, h in zip(words.starts[at : at + n].tolist(), words.ends[at : at + n].tolist(), words.hashes[at : at + n].tolist(), strict=True):
+                    found[words.first + i].append(words.raw[a:b].tobytes())
+                    assert of.setdefault(found[words.first + i][-1], h) == h and h & 255 == found[words.first + i][-1][-1]
+                at += n
+        assert found == [t.encode().split() for t in texts[1:]] + [[]]
+    assert len(set(of.values())) == len(of)
+
+
+def test_masked_lm_whatever_the_layout(spark):
+    rng = random.Random(23)
+    rows = [(i // 2 if i < 40 else i, grammar(rng, rng.randint(0, 200)), "en") for i in range(400)]
+    rows += [rows[3]] * 20 + [(None, None, None), (None, rows[5][1], None)]
+    first = sorted(map(str, masked_lm.score(frame(spark, rows).repartition(1)).collect()))
+    rng.shuffle(rows)
+    assert sorted(map(str, masked_lm.score(frame(spark, rows).repartition(7)).collect())) == first
 
 
 def test_kneser_ney_is_a_distribution():
