@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,27 +106,32 @@ def anchor_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 WHOLE, SORTED, COUNTED = 0, 1, 2
 
 
-def repeated(found: DataFrame) -> DataFrame:
+def repeated(found: DataFrame, first: bool = False) -> DataFrame:
     """``key, at, core, around, mixed`` for anchors whose core occurs again; mixed tells whether its surroundings differ.
 
     Only counts and least values are gathered for a core, and joins on it are inner joins, which Spark splits
-    where a core is frequent.
+    where a core is frequent. With ``first`` also ``head``, the core's first place.
     """
-    cores = found.groupBy("core").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
-    return found.join(cores.select("core", (F.col("low") != F.col("high")).alias("mixed")), "core")
+    head = [F.min(F.struct("key", "at")).alias("head")] if first else []
+    cores = found.groupBy("core").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high"), *head).where("n > 1")
+    return found.join(cores.select("core", (F.col("low") != F.col("high")).alias("mixed"), *["head"][: len(head)]), "core")
 
 
-def statuses(again: DataFrame, limit: int) -> DataFrame:
-    """``key, at, core, status`` for anchors whose core occurs again."""
-    occurrence = F.xxhash64("key", "at")
-    rounds = again.where("mixed").groupBy("core", "around").agg(F.count("*").alias("n"), F.min(occurrence).alias("first"))
+def statuses(again: DataFrame, limit: int, first: bool = False) -> DataFrame:
+    """``key, at, core, status`` for anchors whose core occurs again. With ``first``, first copies are not WHOLE.
+
+    Surroundings count as equal if the 64-bit hashes of their cores and of all of them are: chance needs two collisions, or
+    one among the surroundings of one core.
+    """
+    place = F.struct("key", "at") if first else F.xxhash64("key", "at")
+    rounds = again.where("mixed").groupBy("core", "around").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     sizes = rounds.groupBy("core").agg(F.count("*").alias("kinds"))
     rounds = rounds.join(sizes, "core")
     mixed = again.where("mixed").join(rounds, ["core", "around"])
     way = F.when(F.col("kinds") <= limit, SORTED).otherwise(COUNTED)
-    same = again.where("not mixed").select("key", "at", "core", F.lit(WHOLE).alias("status"))
-    whole = mixed.where("n > 1").select("key", "at", "core", F.lit(WHOLE).alias("status"))
-    single = mixed.where((F.col("n") == 1) | (F.col("first") == occurrence)).select("key", "at", "core", way.alias("status"))
+    same = again.where("not mixed").where(F.col("head") != place if first else F.lit(True)).select("key", "at", "core", F.lit(WHOLE).alias("status"))
+    whole = mixed.where((F.col("n") > 1) & ((F.col("first") != place) if first else F.lit(True))).select("key", "at", "core", F.lit(WHOLE).alias("status"))
+    single = mixed.where((F.col("n") == 1) | (F.col("first") == place)).select("key", "at", "core", way.alias("status"))
     return same.union(whole).union(single)
 
 
@@ -151,62 +155,122 @@ def cut_contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_of(out, CONTEXT_SCHEMA)
 
 
-def nearest_smaller(position: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """For each place the one before it in its run with the nearest smaller position, -1 without any; by pointer jumps."""
-    before = np.arange(len(position)) - 1
-    before[np.concatenate([[True], run[1:] != run[:-1]])] = -1
-    moving = np.flatnonzero(before >= 0)
+def nearest_smaller(position: np.ndarray, lcp: np.ndarray, enough: int = 0) -> np.ndarray:
+    """For each place in a suffix order the common prefix with the nearest place before it that has a smaller text position, 0 without any.
+
+    ``lcp`` is the common prefix with the place before. Found by pointer jumps that carry the least prefix on
+    the way; what falls under ``enough`` is not followed further, and stays some value under it.
+    """
+    before, low = np.arange(len(position)) - 1, lcp.copy()
+    if len(low):
+        low[0] = 0
+    moving = np.flatnonzero((before >= 0) & (low >= enough))
     while True:
-        moving = moving[before[moving] >= 0]
+        moving = moving[(before[moving] >= 0) & (low[moving] >= enough)]
         moving = moving[position[before[moving]] >= position[moving]]
         if not len(moving):
-            return before
-        before[moving] = before[before[moving]]
+            return np.where(before >= 0, low, 0)
+        via = before[moving]
+        low[moving] = np.minimum(low[moving], np.where(before[via] >= 0, low[via], 0))
+        before[moving] = before[via]
+
 
+def longest_factors(position: np.ndarray, lcp: np.ndarray, enough: int = 0) -> np.ndarray:
+    """Longest previous factors in suffix order: the longest common prefix with any suffix of a smaller text position.
 
-def factors(group: np.ndarray, left: np.ndarray, buffer: np.ndarray, anchor: np.ndarray, size: np.ndarray) -> np.ndarray:
+    Of the suffixes with smaller positions the nearest on either side share most. With positions
+    reversed, these are the longest next factors.
+    """
+    after = np.concatenate([[0], lcp[:0:-1]]) if len(lcp) else lcp
+    return np.maximum(nearest_smaller(position, lcp, enough), nearest_smaller(position[::-1], after, enough)[::-1])
+
+
+def sorted_strings(strings: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of zero-padded strings (rows; a width that 8 divides) within groups, and the common prefix of each with the one before, -1 at a group's first."""
+    n = len(group)
+    order = np.lexsort((size, *strings.reshape(n, -1, 8).copy().view(">u8")[:, ::-1, 0].T, group))
+    lcp = np.full(n, -1)
+    if n > 1:
+        same = strings[order[1:]] == strings[order[:-1]]
+        lcp[1:] = np.where(same.all(1), strings.shape[1], np.argmin(same, axis=1))
+        lcp[1:] = np.minimum(lcp[1:], np.minimum(size[order[1:]], size[order[:-1]]))
+        lcp[1:][group[order[1:]] != group[order[:-1]]] = -1
+    return order, lcp
+
+
+class RangeMinimum:
+    """Least values of ranges, from tables of ranges of doubling width."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.tables = [values]
+        while 2 << len(self.tables) - 1 <= len(values):
+            last, width = self.tables[-1], 1 << len(self.tables) - 1
+            self.tables.append(np.minimum(last[:-width], last[width:]))
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Least value from ``low`` to ``high``, inclusive."""
+        step = np.frexp((high - low + 1).astype(float))[1] - 1
+        out = np.empty(len(low), self.tables[0].dtype)
+        for k in np.unique(step).tolist():
+            at = step == k
+            out[at] = np.minimum(self.tables[k][low[at]], self.tables[k][high[at] - (1 << k) + 1])
+        return out
+
+
+def factors(group: np.ndarray, left: np.ndarray, buffer: np.ndarray, anchor: np.ndarray, size: np.ndarray, first: bool = False) -> np.ndarray:
     """Which strings of LENGTH bytes around anchors occur again within their group: a row for an anchor, a column for its distance to the string's start.
 
-    ``buffer`` holds the surroundings one after another, closed by LENGTH zeros; ``anchor`` tells the place of
-    the core in it, ``left`` and ``size`` the bytes before it and in all. Equal strings have their anchor at the
-    same distance, so the suffixes at each distance form a suffix order of their own, which follows from the
-    order one byte to the right (the byte, then the rank of the rest). In it the previous and the next smaller
-    text position give the candidates of the longest previous factor, and those of the reversed positions
-    the longest next factor; a string occurs again where either reaches LENGTH bytes.
+    ``buffer`` holds the surroundings one after another; ``anchor`` tells the place of the core in it, ``left``
+    and ``size`` the bytes before it and in all. Rows of a group come by text position. Equal strings have
+    their anchor at the same distance, so the suffixes at each distance form a suffix order of their own: by the bytes
+    before the anchor (only whether they are equal matters: a prefix that ends there is too short), then by the rest.
+    Its common prefixes give the longest previous and next factors, and a string occurs again where one of them reaches
+    LENGTH (``first``: only the previous one, so that first copies stay). From one distance to the next the order changes only
+    where a common part of two neighbours begins or ends; the factors are worked out at those distances.
     """
     n = len(group)
-    right = size - left
-    words = np.lib.stride_tricks.sliding_window_view(buffer, LENGTH)[anchor]
-    masked = np.where(np.arange(LENGTH) < right[:, None], words, 0)
-    order = np.lexsort((right, *masked.reshape(n, -1, 8).copy().view(">u8")[:, ::-1, 0].T, group)) if n else np.empty(0, np.int64)
+    out = np.zeros((n, REACH + 2), np.int32)
+    if n < 2:
+        return out[:, : REACH + 1] > 0
+    right = np.minimum(size - left, LENGTH)
+    padded = np.concatenate([np.zeros(REACH, np.uint8), buffer, np.zeros(LENGTH, np.uint8)])
+    ahead = np.lib.stride_tricks.sliding_window_view(padded, LENGTH)[anchor + REACH]
+    order, lcp = sorted_strings(np.where(np.arange(LENGTH) < right[:, None], ahead, 0), right, group)
+    back = np.lib.stride_tricks.sliding_window_view(padded, REACH)[anchor][:, ::-1]
+    left_order, left_lcp = sorted_strings(np.where(np.arange(REACH) < left[:, None], back, 0), left, group)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    out = np.zeros((n, REACH + 1), bool)
-    lines = np.lib.stride_tricks.sliding_window_view(buffer, LENGTH)
-    for back in range(REACH + 1):
-        if back:
-            byte = np.where(left >= back, buffer[np.maximum(anchor - back, 0)].astype(np.int64) + 1, 0)
-            rank[order] = np.arange(n)
-            order = np.argsort((group * 257 + byte) * n + rank, kind="stable")
-        fits = (left >= back) & (right >= LENGTH - back)
-        suffixes = order[fits[order]]
+    least = RangeMinimum(lcp)
+    # (group, distance) where a class of equal bytes before the anchor splits, or one of equal bytes after it grows.
+    opens = np.concatenate([group[left_order] * (REACH + 1) + left_lcp + 1, group[order] * (REACH + 1) + np.maximum(0, LENGTH - lcp)])
+    fits = np.concatenate([(left_lcp >= 0) & (left_lcp < REACH), (lcp >= 0) & (lcp >= LENGTH - REACH)])
+    levels = np.unique(np.concatenate([opens[fits], np.unique(group) * (REACH + 1)]))
+    owner, level = levels // (REACH + 1), levels % (REACH + 1)
+    until = np.where(np.append(owner[1:] == owner[:-1], False), np.append(level[1:], 0), REACH + 1)
+    turn = np.arange(len(levels)) - np.searchsorted(owner, owner)
+    for k in range(int(turn.max()) + 1):
+        now = np.flatnonzero(turn == k)
+        slot = np.searchsorted(owner[now], group)
+        slot[slot == len(now)] = 0
+        active = owner[now][slot] == group
+        low = level[now][slot]
+        own = left_order[active[left_order]]
+        classes = np.zeros(n, np.int64)
+        classes[own] = np.cumsum(left_lcp[active[left_order]] < low[own])
+        rows = np.flatnonzero(active & (left >= low) & (right >= LENGTH - low))
+        suffixes = rows[np.argsort(classes[rows] * n + rank[rows])]
         if len(suffixes) < 2:
             continue
-        pair = np.flatnonzero(group[suffixes[1:]] == group[suffixes[:-1]])
-        if not len(pair):
-            continue
-        start = anchor[suffixes] - back
-        equal = np.zeros(len(suffixes), bool)  # whether the common prefix with the suffix before reaches LENGTH
-        equal[pair + 1] = (lines[start[pair]] == lines[start[pair + 1]]).all(1)
-        run = np.cumsum(~equal)  # the intervals of suffixes that share LENGTH bytes; factors beyond them are shorter
-        several = np.flatnonzero(np.bincount(run)[run] > 1)
-        suffixes, run = suffixes[several], run[several]
-        if not len(run):
-            continue
-        for sign in (1, -1):
-            for way in (slice(None), slice(None, None, -1)):
-                out[suffixes[way][nearest_smaller(sign * suffixes[way], run[way]) >= 0], back] = True
-    return out
+        common = np.zeros(len(suffixes), np.int64)
+        pair = np.flatnonzero(classes[suffixes[1:]] == classes[suffixes[:-1]]) + 1
+        common[pair] = low[suffixes[pair]] + least.least(rank[suffixes[pair - 1]] + 1, rank[suffixes[pair]])
+        again = longest_factors(suffixes, common, LENGTH) >= LENGTH
+        if not first:
+            again |= longest_factors(-suffixes, common, LENGTH) >= LENGTH
+        found = suffixes[again]
+        out[found, low[found]] += 1
+        out[found, until[now][slot[found]]] -= 1
+    return np.cumsum(out, axis=1)[:, : REACH + 1] > 0
 
 
 FOUND = pa.schema([("key", pa.int64()), ("from", pa.int64()), ("to", pa.int64())])
@@ -218,18 +282,18 @@ def intervals(flags: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts[np.flatnonzero(edge == 1)], starts[np.flatnonzero(edge == -1) - 1]
 
 
-def sort_groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated strings as byte ranges, from batches sorted by core; a core that the batch may not end is carried on."""
+def sort_groups(parts: Iterator[pa.RecordBatch], first: bool = False) -> Iterator[pa.RecordBatch]:
+    """Repeated strings as byte ranges, from batches sorted by core, key and place; a core that the batch may not end is carried on."""
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         cores = table.column("core").to_numpy()
         held = table.column("bytes").to_pylist()
         size = np.array([len(b) for b in held], np.int64)
         begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        buffer = np.frombuffer(b"".join(held) + bytes(LENGTH), np.uint8)
+        buffer = np.frombuffer(b"".join(held), np.uint8)
         at, start, keys = table.column("at").to_numpy(), table.column("from").to_numpy(), table.column("key").to_numpy()
         group = np.cumsum(np.concatenate([[0], (cores[1:] != cores[:-1]).astype(np.int64)]))
-        flags = factors(group, at - start, buffer, begin + at - start, size)
+        flags = factors(group, at - start, buffer, begin + at - start, size, first)
         out: dict[str, list] = {"key": [], "from": [], "to": []}
         for i in np.flatnonzero(flags.any(1)).tolist():
             low, high = intervals(flags[i, ::-1], np.arange(at[i] - REACH, at[i] + 1))
@@ -265,15 +329,18 @@ def string_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows_of({"hash": [xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in spots], "key": [key] * len(spots), "from": [start + i for i in spots]}, STRINGS)
 
 
-def counted(contexts: DataFrame) -> DataFrame:
+def counted(contexts: DataFrame, first: bool = False) -> DataFrame:
     """The same for anchors with very many surroundings: equal strings meet in an aggregate, no group in a task.
 
     A string that holds several anchors comes up once for each, so it is places that have to differ.
     """
     strings = contexts.select("key", "at", "from", "bytes").mapInArrow(string_rows, "hash binary, key long, `from` long")
-    place = F.xxhash64("key", "from")
-    more = strings.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("hash")
-    return strings.join(more, "hash").select("key", "from", (F.col("from") + LENGTH).alias("to"))
+    place = F.struct("key", "from") if first else F.xxhash64("key", "from")
+    more = strings.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("hash", "low")
+    again = strings.join(more, "hash")
+    if first:
+        again = again.where(place != F.col("low"))
+    return again.select("key", "from", (F.col("from") + LENGTH).alias("to"))
 
 
 def merged(spans: list[dict], n: int) -> list[tuple[int, int]]:
@@ -288,8 +355,8 @@ def merged(spans: list[dict], n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def with_repeats(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
-    """``docs`` (columns key and text) with ``spans``: the byte ranges covered by strings of LENGTH bytes that start anywhere else too.
+def with_repeats(docs: DataFrame, limit: int = GROUP_LIMIT, first: bool = False) -> DataFrame:
+    """``docs`` (columns key and text) with ``spots`` and ``ranges``: what is covered by strings of LENGTH bytes that start anywhere else too.
 
     Every string holds an anchor that only its content picks, so equal strings share a core at the same
     distance. Surroundings that occur twice are repeated as a whole and need only their count; those that
@@ -297,9 +364,9 @@ def with_repeats(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """
     spark = docs.sparkSession
     found = docs.select("key", "text").mapInArrow(anchor_rows, "key long, at long, core long, around long")
-    again, drop = stored(repeated(found))
+    again, drop = stored(repeated(found, first))
     release(spark)
-    spots = durable(statuses(again, limit).groupBy("key").agg(F.collect_list(F.struct("at", "core", "status")).alias("spots")))
+    spots = durable(statuses(again, limit, first).groupBy("key").agg(F.collect_list(F.struct("at", "core", "status")).alias("spots")))
     drop()
     del found, again
     release(spark)
@@ -307,9 +374,9 @@ def with_repeats(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     spotted = docs.join(spots, "key", "left")
     contexts = spotted.mapInArrow(cut_contexts, CONTEXTS)
     ordered = contexts.where(F.col("status") == SORTED).repartition("core").sortWithinPartitions("core", "key", "at")
-    ranges = ordered.mapInArrow(sort_groups, "key long, `from` long, `to` long")
+    ranges = ordered.mapInArrow(lambda parts: sort_groups(parts, first), "key long, `from` long, `to` long")
     if spots.where(F.exists("spots", lambda s: s["status"] == COUNTED)).limit(1).count():
-        ranges = ranges.union(counted(contexts.where(F.col("status") == COUNTED)))
+        ranges = ranges.union(counted(contexts.where(F.col("status") == COUNTED), first))
     ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
     return spotted.join(ranges, "key", "left")
 
@@ -339,17 +406,18 @@ def cut_spans(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def remove_repeats(docs: DataFrame, limit: int = GROUP_LIMIT, first: bool = False) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` for each row of ``docs``: whole texts without every repeated string of LENGTH bytes, first copies included.
 
-    Null texts count as empty; texts under LENGTH bytes stay whole. Repeated rows are copies of each other,
+    With ``first``, first copies stay: a string goes if it has an earlier place, by the rows' hashes and then
+    within the text. Null texts count as empty; texts under LENGTH bytes stay whole. Repeated rows are copies of each other,
     and so lose all that is LENGTH bytes or longer. Rows with one doc_id and different texts stay apart. An
     empty table gives an empty result.
     """
     batches(docs.sparkSession, 500)
     keyed = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spotted = with_repeats(keyed, limit).select("doc_id", "text", "spots", "ranges")
+    spotted = with_repeats(keyed, limit, first).select("doc_id", "text", "spots", "ranges")
     return spotted.mapInArrow(cut_spans, f"doc_id {kind}, n_bytes long, spans array<struct<`from`: long, `to`: long>>, kept binary")
 
 

@@ -114,6 +114,80 @@ def sample_texts():
     return texts
 
 
+def test_longest_factors():
+    rng = random.Random(8)
+    for _ in range(300):
+        text = [rng.choice("ab") for _ in range(rng.randint(1, 14))]
+        n = len(text)
+        order = sorted(range(n), key=lambda i: text[i:])
+        share = lambda i, j: next((k for k in range(n - max(i, j)) if text[i + k] != text[j + k]), n - max(i, j))
+        lcp = np.array([0] + [share(a, b) for a, b in zip(order, order[1:], strict=False)])
+        at = np.array(order)
+        previous = [max((share(i, j) for j in range(i)), default=0) for i in order]
+        following = [max((share(i, j) for j in range(i + 1, n)), default=0) for i in order]
+        assert repeats.longest_factors(at, lcp).tolist() == previous
+        assert repeats.longest_factors(-at, lcp).tolist() == following
+        assert (repeats.longest_factors(at, lcp, 3) >= 3).tolist() == [x >= 3 for x in previous]
+
+
+def grouped(rng):
+    """Surroundings of anchors in groups, as factors() takes them, cut from near copies."""
+    base, rows = bytes(rng.choice(b"abc") for _ in range(336)), []
+    for g in range(rng.randint(1, 6)):
+        for _ in range(rng.randint(1, 9)):
+            own = bytearray(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                own[rng.choice([rng.randrange(136), rng.randrange(200, 336)])] = rng.choice(b"xyz")
+            low, high = rng.choice([0, 0, rng.randrange(136)]), rng.choice([336, 336, rng.randrange(201, 336)])
+            rows.append((g, 136 - low, bytes(own[low:high])))
+    return rows
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_factors_of_groups(monkeypatch, first):
+    rng = random.Random(9)
+
+    def run(rows):
+        size = np.array([len(r[2]) for r in rows])
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        left = np.array([r[1] for r in rows])
+        return repeats.factors(np.array([r[0] for r in rows]), left, np.frombuffer(b"".join(r[2] for r in rows), np.uint8), begin + left, size, first)
+
+    differ = 0
+    for _ in range(60):
+        rows = grouped(rng)
+        want = np.zeros((len(rows), repeats.REACH + 1), bool)
+        for i, (g, left, raw) in enumerate(rows):
+            for back in range(left + 1):
+                string = raw[left - back : left - back + 200]
+                others = [r for j, r in enumerate(rows) if j != i and r[0] == g and r[1] >= back and (j < i or not first)]
+                want[i, back] = len(string) == 200 and any(r[2][r[1] - back : r[1] - back + 200] == string for r in others)
+        assert np.array_equal(run(rows), want)
+        with monkeypatch.context() as wrong:  # the arrays decide
+            wrong.setattr(repeats, "longest_factors", lambda position, lcp, enough=0: np.maximum(lcp - 1, 0))
+            differ += not np.array_equal(run(rows), want)
+    assert differ > 30
+
+
+def test_first_copies_stay(spark):
+    texts = sample_texts()
+    rows = [(i, t, "x", "y", None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for limit in (repeats.GROUP_LIMIT, 2):
+        got = {r.doc_id: r for r in repeats.remove_repeats(docs, limit, first=True).collect()}
+        place = {r.doc_id: r.k for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) as k").collect()}
+        seen, gone = set(), {}
+        for i in sorted(place, key=place.get):
+            raw = (texts[i] or "").encode()
+            gone[i] = bytearray(len(raw))
+            for at in range(len(raw) - 199):
+                if raw[at : at + 200] in seen:
+                    gone[i][at : at + 200] = b"\1" * 200
+                seen.add(raw[at : at + 200])
+        for i, flags in gone.items():
+            assert got[i].kept == bytes(c for c, g in zip((texts[i] or "").encode(), flags, strict=True) if not g), i
+
+
 @pytest.mark.parametrize("limit", [repeats.GROUP_LIMIT, 2])
 def test_repeats(spark, limit):
     texts = sample_texts()
