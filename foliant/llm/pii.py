@@ -13,7 +13,13 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: The length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{'|'.join(own.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, own in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 
@@ -71,7 +77,7 @@ def confirmed(kind: str, match: Column) -> Column:
     if kind == "phone":
         return n.between(10, 15)
     if kind == "iban":
-        return F.when(F.length(F.regexp_replace(match, r"\x20", "")).between(15, 34), mod97(match)).otherwise(False)
+        return mod97(match)
     if kind == "ssn":
         return ~F.substring(match, 1, 3).isin("000", "666") & (F.substring(match, 1, 1) != "9") & (F.substring(match, 5, 2) != "00") & (F.substring(match, 8, 4) != "0000")
     return F.lit(True)
@@ -95,7 +101,7 @@ def located(kind: Kind, text: Column) -> Column:
     return F.when(F.contains(text, F.lit(kind.least)), out).otherwise(empty) if kind.least else out
 
 
-def spans(df: DataFrame, text: Column, into: str = "_pii", kinds=KINDS, threshold: float = THRESHOLD) -> DataFrame:
+def spans(df: DataFrame, text: Column, into: str, kinds=KINDS, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with an array of ``start, rank, end, kind, base, score``, by start and then kind."""
     for k in kinds:
         df = df.withColumn(f"{into}_{k.name}", located(k, text))
@@ -120,45 +126,51 @@ def listed(found: Column) -> Column:
 
 
 def detect(docs: DataFrame, kinds=KINDS, threshold: float = THRESHOLD) -> DataFrame:
-    """Each row of ``docs`` with ``_pii``, the array of its spans.
+    """``row, text, found`` for each row of ``docs``: all its columns in a struct, its text (null: empty) and the array of its spans.
 
-    Base kinds keep every confirmed match; kinds of the method (IBAN by mod-97, social security numbers by
+    Base kinds keep every confirmed match; kinds of the method (IBAN by its country's length and mod-97, social security numbers by
     their ranges) need a score of ``threshold``, which context words raise. A null or empty text has no
-    spans. Rows are independent: repeated rows get equal spans, and no row moves between tasks. Offsets are
-    code points, ends exclusive. Spans of different kinds may overlap.
+    spans. Rows are independent: repeated rows get equal spans, no row moves between tasks, an empty table gives an empty result, and
+    whatever other columns are called, they stay within the struct. Offsets are code points, ends exclusive; a text of any length is
+    read whole. Spans of different kinds may overlap; those with the same start come in the order of KINDS.
     """
-    return spans(docs, F.coalesce(F.col("text"), F.lit("")), kinds=kinds, threshold=threshold)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return spans(packed, F.col("text"), "found", kinds, threshold)
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    A null text stays null. ``n_chars``, where there is such a column, becomes the new length.
+    A null text stays null, an empty one empty, and a text without spans as it is. ``n_chars``, where there is such a column, becomes the
+    new length where the text changed. Repeated rows change alike; other columns pass through, whatever their names; an empty table stays empty.
     """
     merged = F.expr(
-        "aggregate(_pii, cast(array() as array<struct<start:int,end:int,kind:string>>), (a, s) -> "
+        "aggregate(found, cast(array() as array<struct<start:int,end:int,kind:string>>), (a, s) -> "
         "case when size(a) > 0 and s.start < element_at(a, -1).end then "
         "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end), 'kind', element_at(a, -1).kind))) "
         "else concat(a, array(named_struct('start', s.start, 'end', s.end, 'kind', s.kind))) end)"
     )
     cut = F.expr(
-        "aggregate(_merged, named_struct('out', cast(array() as array<string>), 'at', 0), (a, s) -> named_struct('out', "
+        "aggregate(merged, named_struct('out', cast(array() as array<string>), 'at', 0), (a, s) -> named_struct('out', "
         "concat(a.out, array(substring(text, a.at + 1, s.start - a.at), concat('[', upper(s.kind), ']'))), 'at', s.end), "
         "a -> array_join(concat(a.out, array(substring(text, a.at + 1))), ''))"
     )
-    out = detect(docs, threshold=threshold).withColumn("_merged", merged)
-    out = out.withColumn("text", F.when(F.size("_merged") > 0, cut).otherwise(F.col("text")))
+    out = detect(docs, threshold=threshold).withColumn("merged", merged)
+    out = out.withColumn("changed", F.when(F.size("merged") > 0, cut))
+    new = {"text": F.coalesce("changed", F.col("row.text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_merged") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("changed").isNotNull(), F.length("changed").cast(kind)).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` and ``n_added, scores``, one row for each row of ``docs``."""
-    found = detect(docs.select("doc_id", "text"))
-    base = F.filter(F.col("_pii"), lambda s: s["base"])
-    count = lambda kind: F.size(F.filter(F.col("_pii"), lambda s: s["kind"] == kind)).cast("long")
-    return found.select(
-        "doc_id", *[count(k.name).alias(f"n_{k.name}") for k in KINDS if k.base], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_pii")).alias("spans"),
-        F.size(F.filter(F.col("_pii"), lambda s: ~s["base"])).cast("long").alias("n_added"), F.array_join(F.transform(F.col("_pii"), lambda s: s["score"].cast("string")), ",").alias("scores"),
+    out = detect(docs.select("doc_id", "text"))
+    found = F.col("found")
+    base = F.filter(found, lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+    return out.select(
+        "row.doc_id", *[count(k.name).alias(f"n_{k.name}") for k in KINDS if k.base], F.sha2(listed(base), 256).alias("base_sha256"), listed(found).alias("spans"),
+        F.size(F.filter(found, lambda s: ~s["base"])).cast("long").alias("n_added"), F.array_join(F.transform(found, lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
