@@ -186,9 +186,3 @@ def near_duplicates(docs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(smallest, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component the row with the smallest doc_id stays (of rows that repeat it, one)."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])

@@ -7,8 +7,9 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from foliant.llm import components, repeats, simhash, sketch
+from foliant.llm import components, near_copies, repeats, simhash, sketch
 
 DOCS = "doc_id long, text string, fp string, key string, spans string"
 
@@ -83,10 +84,72 @@ def test_near_duplicates(spark):
     assert {r.component_id for r in by[None]} == {4, None}
     docs = spark.createDataFrame([(*r, "x", "y", None) for r in rows], DOCS)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    kept = sorted(str(r.doc_id) for r in simhash.one_of_each(docs).collect())
+    kept = sorted(str(r.doc_id) for r in near_copies.one_of_each(docs).collect())
     assert kept == ["1", "2", "4", "None"]
 
 
+def shingled(text):
+    words = [w.encode().lower() for w in words_of(text)]
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_texts(rng):
+    """Texts, and copies of them in which some words are replaced, left out or moved, from very alike to hardly."""
+    out = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(3, 300))]
+        out.append(" ".join(words))
+        for _ in range(rng.randint(0, 5)):
+            own = list(words)
+            for _ in range(rng.randint(0, max(1, len(own) // 25))):
+                at = rng.randrange(len(own))
+                own[at : at + 1] = rng.choice([[], ["new"], [own[at], "more"]])
+            out.append("  ".join(w.upper() if rng.random() < 0.2 else w for w in own))
+    return out
+
+
+@pytest.mark.parametrize("limit", [near_copies.LIST_LIMIT, 3])
+def test_one_of_each(spark, limit):
+    rng = random.Random(12)
+    texts = near_texts(rng)
+    rows = [(i, t, None, "x", str(i)) for i, t in enumerate(texts)] + [(0, texts[0], None, "x", "0"), (5000, "", "a", "b", "c"), (5001, None, "a", "b", "c"), (None, "alone " * 9, "a", "b", "c"), (None, "another " * 9, "a", "b", "c"), (7, "with the id of another", "a", "b", "c")]
+    docs = spark.createDataFrame(rows, DOCS)
+    sets = [shingled(r[1]) for r in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    assert len(pairs) > 40
+    group = roots(len(rows), pairs)
+    best = {}
+    for i, r in enumerate(rows):
+        rank = (r[0] is None, r[0], i)
+        best[group[i]] = min(best.get(group[i], rank), rank)
+    got = near_copies.one_of_each(docs, limit=limit).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((b[0], b[1] or 0) for b in best.values())
+    assert {r.text for r in got} <= {r[1] for r in rows}
+
+
+def test_one_of_each_keeps_unlike_rows_and_columns(spark):
+    rows = [(None, "one text of its own here"), (None, "quite another text stands there"), (7, "third text that is unlike"), (7, "a fourth one that shares the id"), (8, "A Fourth one that shares the id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_kept", "key", "row", "id", "place", "a.b")})
+    got = near_copies.one_of_each(docs)
+    assert got.columns == docs.columns and got.count() == 4
+    assert all(r["_kept"] == "_kept" and r["a.b"] == "a.b" for r in got.collect())
+    assert near_copies.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(600):
+        own = list(words)
+        for at in rng.sample(range(400), 4):
+            own[at] = f"v{rng.randrange(9)}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in near_copies.one_of_each(docs, limit=50).collect()] == [0]
+
+
 def cut(texts, size=repeats.LENGTH):
     seen = {}
     for t in texts:

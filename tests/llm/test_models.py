@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import common, kneser_ney, latent, licenses, masked_lm, mixing, pii, simhash, tokens
+from foliant.llm import common, kneser_ney, latent, licenses, masked_lm, mixing, pii, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, nats string"
 
@@ -357,18 +357,45 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r in judged.collect()) and 125 not in {r.doc_id for r in after.collect()}
     assert len({r.doc_id for r in after.collect()} & set(range(120))) >= 114
     before, after = seen["near_duplicates"]
-    fps = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in before.collect()}
-    first = {i: min(j for j in fps if (fps[i] ^ fps[j]).bit_count() <= 3) for i in fps}
-    assert {r.doc_id for r in after.collect()} == {i for i in fps if first[i] == i}
+    sets = {}
+    for r in before.collect():
+        words = (r.text or "").lower().split()
+        sets[r.doc_id] = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    first = {i: min(j for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in sets}
+    assert {r.doc_id for r in after.collect()} == {i for i in sets if first[i] == i}
     before, after = seen["decontamination"]
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect() if item not in (r.text or "")}
     before, after = seen["personal_data"]
     assert {r.doc_id: r.text for r in after.collect()} == {r.doc_id: r.text and r.text.replace("a@b.co", "[EMAIL]") for r in before.collect()}
     before, after = seen["mix"]
-    want = {r.doc_id: r.times for r in mixing.mix(before).where("times > 0").collect()}
+    want = {r.row.doc_id: r.times for r in mixing.mix(before).where("times > 0").collect()}
     got = {r.doc_id: r.n for r in after.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert got == want
-    assert pii.detect(before).where(F.size("_pii") > 0).count() == 0
+    assert pii.detect(before).where(F.size("found") > 0).count() == 0
+
+
+def test_quality_without_a_limit_keeps_all(spark):
+    ids = [r.id for r in spark.range(100).where("pmod(xxhash64(id), 4) <> 0").collect()]
+    docs = frame(spark, [(i, f"w{i} some words here", "en") for i in ids[:20]]).withColumns({"nats": F.lit(1), "limit": F.lit(2), "keep": F.lit(3), "row": F.lit(4), "of": F.lit(5)})
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids[:3]], "doc_id long, quality int, toxic int")  # all of them in the model, none left to judge by
+    ids_used = sorted(r.doc_id for r in kneser_ney.chosen(labels).collect())
+    assert ids_used == ids[:3]
+    assert kneser_ney.classify(docs, labels).where("keep").count() == 20
+    kept = kneser_ney.keep_good(docs, labels)
+    assert kept.count() == 20 and kept.columns == docs.columns
+    assert all((r["nats"], r["limit"], r["keep"], r["row"], r["of"]) == (1, 2, 3, 4, 5) for r in kept.collect())
+
+
+def test_pipeline_of_nothing_and_of_clashing_names(spark, corpus):
+    folder, _, _ = corpus
+    docs = common.table(spark, folder, "documents")
+    names = ("size", "copy", "_mix", "_kept", "_nats", "_pii", "_limit", "row", "key", "id", "times", "found", "limit", "of")
+    wide = docs.withColumns({c: F.lit(c) for c in names})
+    for stage_name, stage in corpus_pipeline.STAGES:
+        few = stage(spark, wide.where("doc_id < 30"), folder)
+        rows = few.limit(3).collect()
+        assert rows and all(r[c] == c for r in rows for c in names if c != "copy"), stage_name
+        assert stage(spark, wide.limit(0), folder).count() == 0, stage_name
 
 
 def test_pipeline_runs_as_a_whole(spark, corpus):

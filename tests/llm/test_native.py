@@ -1,6 +1,7 @@
 """Mixing, personal data and URL rules against brute force."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -27,29 +28,38 @@ def water(sizes, weights=(5, 2, 1), share=1.5, epochs=2):
     return target
 
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     rows = [(i, " ".join(["w"] * (i % 17)), ["b", "a", None, "é", "z"][i * i % 5], "en", "x") for i in range(300)]
     rows += [(1, None, "a", None, "x"), (None, "one two", "a", None, "x"), (1, "w", "only", None, None), (400, "", "empty", None, None)]
-    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs).collect()
     sizes = {}
     for r in rows:
         sizes[r[2]] = sizes.get(r[2], 0) + len((r[1] or "").split())
     want = water(sizes)
     taken = {}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and all(0 <= r.times <= 2 for r in got)
     for r in got:
-        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
-        assert 0 <= r.times <= 2 and r.size == len((r.text or "").split())
-        taken[r.source] = taken.get(r.source, 0) + r.size * r.times
+        taken[r.row.source] = taken.get(r.row.source, 0) + len((r.row.text or "").split()) * r.times
     for s, t in want.items():
         assert abs(taken[s] - t) <= 17
     again = mixing.mix(spark.createDataFrame(rows[::-1], DOCS)).collect()
-    key = lambda r: (r.doc_id is None, r.doc_id, r.text or "", r.times)
+    key = lambda r: (r.row.doc_id is None, r.row.doc_id, r.row.text or "", r.times)
     assert sorted(map(key, got)) == sorted(map(key, again))
+    told = mixing.digest(docs).collect()
+    assert sorted((r.doc_id or -1, r["size"], r.taken) for r in told) == sorted((r.row.doc_id or -1, n := len((r.row.text or "").split()), n * r.times) for r in got)
+    assert all(r.source_size in sizes.values() and any(r.target == pytest.approx(t) for t in want.values()) for r in told)
+    for digits in ((1,), (3, 31), (4,)):  # whatever the slices
+        monkeypatch.setattr(mixing, "DIGITS", digits)
+        assert sorted(map(key, mixing.mix(docs).collect())) == sorted(map(key, got))
 
 
-def test_mixing_of_nothing(spark):
+def test_mixing_of_nothing_and_clashing_names(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
+    docs = spark.createDataFrame([(i, "a b", "s", "x", 7) for i in range(5)], "doc_id long, text string, source string, size string, `of` int")
+    docs = docs.withColumns({"row": F.lit(1), "draw": F.lit("d"), "times": F.lit(9), "a.b": F.lit(0)})
+    got = mixing.mix(docs).collect()
+    assert len(got) == 5 and all((r.row["size"], r.row["of"], r.row["row"], r.row["draw"], r.row["times"], r.row["a.b"]) == ("x", 7, 1, "d", 9, 0) for r in got)
 
 
 def luhn(s):
@@ -91,6 +101,31 @@ def test_redaction(spark):
     assert [r.n_chars for r in got] == [24, None, 5]
 
 
+def iban(country, tail):
+    value = int("".join(str(int(c, 36)) for c in tail + country + "00")) % 97
+    return f"{country}{98 - value:02d}{tail}"
+
+
+def test_ibans_end_where_their_country_says(spark):
+    rng = random.Random(31)
+    good = [iban(c, "".join(rng.choice("0123456789ABCXYZ") for _ in range(n - 4))) for n, own in pii.IBAN_LENGTHS.items() for c in own.split()]
+    texts = ["account " + " ".join(g[i : i + 4] for i in range(0, len(g), 4)) + rng.choice([" BANK", " 12 PAY", ".", "", " x"]) for g in good]
+    texts += ["account " + g + "A" for g in good[:20]] + ["account " + g[:-1] for g in good[:20]] + ["account " + g[:4] + ("1" if g[4] != "1" else "2") + g[5:] for g in good[:20]] + ["account ZZ" + g[2:] for g in good[:5]]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, g in enumerate(good):
+        assert f"iban:8:{8 + len(g) + (len(g) - 1) // 4}" in got[i].spans.split(","), texts[i]
+    assert not any("iban" in got[i].spans for i in range(len(good), len(texts)))
+
+
+def test_redaction_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a@b.co"), (2, None)], "doc_id int, text string").withColumns({c: F.lit(c) for c in ("row", "found", "merged", "changed", "_pii", "found_email", "n.m")})
+    got = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert got[1].text == "[EMAIL]" and got[2].text is None
+    assert all(r[c] == c for r in got.values() for c in docs.columns[2:])
+    assert pii.redact(docs.limit(0)).columns == docs.columns and pii.redact(docs.limit(0)).count() == 0 and pii.digest(docs.limit(0)).count() == 0
+
+
 URLS = [
     None, "", "no scheme", "http://example.org", "http://example.org/", "https://WWW.Example.ORG/es/x?y#z", "https://notexample.org/es/1", "http://a.b.example.org/en/12/3", "http://x.com/fr/1", "http://com/fr/",
     "http://x.com/FR/", "ftp://x.com:80/fr/", "http://x.com/de/?a://b/c", "x://y://z/w", "http://É.org/ä?", "http://example.org/es", "http://example.org?/es/", "http://m.com/de/\n/x", "http:///fr/",
