@@ -29,8 +29,26 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(f"(?!{BLANK})[\\s\\S]")
 
 
+def long_words(text: Column) -> Column:
+    """Distinct words of three letters and more that aren't stop words, in small letters."""
+    return F.array_except(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)), F.lit(STOP_WORDS))
+
+
+def word_set_of(words: Column) -> Column:
+    """``words`` with one final s off, once each; one text function over all of them."""
+    bare = F.split(F.replace(F.concat(F.array_join(words, " "), F.lit(" ")), F.lit("s "), F.lit(" ")), " ")
+    return F.array_except(bare, F.array(F.lit("")))
+
+
 def word_set(text: Column) -> Column:
-    """Distinct words to compare by: over two letters, no stop words, one final s off; pairs of characters where words have no spaces."""
+    """Distinct words to compare by: over two letters, no stop words, one final s off; pairs of characters where words have no spaces.
+
+    Sets and text functions over a whole paragraph at once do it, and only text without spaces goes word by word.
+    """
+    return F.when(text.rlike(UNSPACED), unspaced_word_set(text)).otherwise(word_set_of(long_words(text)))
+
+
+def unspaced_word_set(text: Column) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     stop = F.lit(STOP_WORDS)
 
@@ -125,6 +143,12 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(StringType())
+def nfkd(text: pd.Series) -> pd.Series:
+    """Compatibility form with marks apart from their letters."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+
+
 def osa(a: str, b: str) -> int:
     """Edit distance in which swapping two neighbours is one edit and no stretch is edited twice."""
     older, old = [], list(range(len(b) + 1))

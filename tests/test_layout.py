@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,11 +32,12 @@ def test_blocks(spark):
 
 
 def test_runs_break_at_gaps_and_drop_overprints():
-    row = [{"text": c, "l": x, "r": x + 5, "baseline": 10, "size": 10, "bold": False} for c, x in (("a", 0), ("a", 1), ("b", 7), ("c", 40), (" ", 45))]
-    assert [(r.text, r.bold) for r in layout.text_runs(row)] == [("ab", True), ("c", False)]
-    assert layout.joined(["hy-", "phen", "東", "京"]) == "hyphen 東京"
+    row = pd.DataFrame([{"glyph_no": i, "text": c, "l": x, "r": x + 5, "baseline": 10, "b": 0, "size": 10, "bold": False, "width": 1, "height": 1} for i, (c, x) in enumerate((("a", 0), ("a", 1), ("b", 7), ("c", 40), (" ", 45)))])
+    assert layout.page_runs(row)[["text", "bold"]].values.tolist() == [["ab", True], ["c", False]]
+    assert layout.flowed(["hy-", "phen", "東", "京"]) == "hyphen 東京" and layout.flowed(["A-", "B", "x-", "Y", "", "z-", "9"]) == "A- B x- Y z- 9"
     assert layout.wrapped("aaa bb ccccccc d", 5, len) == ["aaa", "bb", "ccccc", "cc d"]
-    assert layout.heaviest([("a", 1), ("b", 2), ("a", 1)]) == "b"
+    assert layout.weightiest(np.array(["a", "b", "a"]), np.array([1, 2, 1])) == "b"
+    assert layout.overprints(np.array(list("aaaab")), np.array([0.0, 1, 2, 6, 7]), np.array([5.0, 6, 7, 11, 12])).tolist() == [False, True, True, False, False]
 
 
 def test_matrices(spark):

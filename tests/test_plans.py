@@ -1,5 +1,6 @@
 """The facade, the streams, the catalogue search, and the driver's contract."""
 
+import random
 import re
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from foliant import catalog
+from foliant.functions import text
 from foliant.operators import search
 from foliant.plans import jobs
 from foliant.streaming import files
@@ -30,7 +32,17 @@ def test_search(spark):
     assert names("merge pdf")[0] == "Merge PDF" and names("combin") == ["Merge PDF"]
     assert names("comprses") == ["Compress PDF"] and names("docx to pdf")[0] == "Word to PDF"
     assert names("please") == [r[1] for r in rows] and names("qqqqqq") == []
-    assert search.word_score("ab", "ba") == search.NEVER and search.word_score("abcd", "abdc") == 0.75
+    assert names("pdf to word")[0] == "PDF to Word" and "Word to PDF" not in names("pdf to docx") and names("PDF to jpeg") == []
+    rng = random.Random(5)
+    pairs = [("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))), "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))) for _ in range(400)]
+    pairs += [(a, a[:i] + a[i + 1 : i + 2] + a[i : i + 1] + a[i + 2 :] + rng.choice(["", "x"])) for a, _ in pairs for i in (0, 2)]
+    for asked in {a for a, _ in pairs[:60]}:
+        words = spark.createDataFrame([(b,) for _, b in pairs] + [(b,) for a, b in pairs if a == asked], "w string")
+        for r in words.select("w", search.edits(asked, F.col("w")).alias("n"), search.cost(asked, F.col("w")).alias("c")).collect():
+            true, most = text.osa(asked, r.w), 2 if len(asked) >= 7 else 1 if len(asked) >= 4 else 0
+            assert r.n == true or (r.n > 2 and true > 2), (asked, r.w)
+            want = 0 if asked == r.w else 0.12 if r.w.startswith(asked) else 0.25 if len(asked) >= 3 and asked in r.w else 0.6 + 0.15 * true if true <= most else None
+            assert r.c == (want if want is None else pytest.approx(want)), (asked, r.w)
 
 
 def test_streams(spark, tmp_path):
