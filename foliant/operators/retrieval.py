@@ -24,12 +24,12 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 def without_heads(pars: DataFrame) -> DataFrame:
     """Paragraphs without those of one character or less and without running heads: short ones whose shape is on three pages or more.
 
-    A document's shapes are counted in a window over that document, of which only its short paragraphs need be compared.
+    Only short paragraphs are counted by shape, an aggregate of their pages, and only they are looked up in the few heads found.
     """
-    shaped = pars.withColumn("shape", T.shape(F.col("text")))
-    pages = shaped.groupBy("doc_id", "shape").agg(F.countDistinct("page_no").alias("pages"))
-    joined = shaped.join(pages.where(F.col("pages") >= HEAD_PAGES), ["doc_id", "shape"], "left")
-    return joined.where((F.length("text") > 1) & ~((F.length("text") < HEAD_LENGTH) & F.col("pages").isNotNull())).select(*pars.columns)
+    size = F.length("text")
+    short = pars.where((size > 1) & (size < HEAD_LENGTH)).withColumn("shape", T.shape(F.col("text")))
+    heads = short.select("doc_id", "shape", "page_no").distinct().groupBy("doc_id", "shape").agg(F.count("*").alias("pages")).where(F.col("pages") >= HEAD_PAGES)
+    return pars.where(size >= HEAD_LENGTH).union(short.join(heads, ["doc_id", "shape"], "left_anti").select(*pars.columns))
 
 
 def questions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -43,15 +43,21 @@ def questions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def bm25(pars: DataFrame, asked: DataFrame) -> DataFrame:
     """``doc_id, par_no, size, score``: how well each paragraph answers its document's question; only those that share a word.
 
-    Each word counts once in a paragraph. Words that the question doesn't ask are dropped before anything is shuffled.
+    Each word counts once in a paragraph. Paragraphs meet their question once, by document; from then on only the
+    words that both have are carried, and all counts are windows over the document.
     """
-    sized = pars.select("doc_id", "par_no", F.length("text").alias("size"), T.word_set(F.col("text")).alias("words"))
-    totals = sized.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("size").alias("average"))
-    asked = asked.select("doc_id", T.word_set(F.col("question")).alias("asked")).join(totals, "doc_id")
-    held = sized.join(asked, "doc_id").select("doc_id", "par_no", "size", "n", "average", F.explode(F.array_intersect("words", "asked")).alias("word"))
-    holding = held.groupBy("doc_id", "word").agg(F.count("*").alias("held"))
+    wanted = T.word_set(F.col("question"))
+    # A word as it may stand in a text: itself, unless it would lose a final s, and with one.
+    forms = F.concat(F.filter("wanted", lambda w: ~w.endswith("s")), F.transform("wanted", lambda w: F.concat(w, F.lit("s"))))
+    asked = asked.select("doc_id", wanted.alias("wanted")).select("doc_id", "wanted", forms.alias("forms"))
+    met = pars.select("doc_id", "par_no", "text").join(asked, "doc_id")
+    shared = F.when(F.col("text").rlike(T.UNSPACED), F.array_intersect(T.word_set(F.col("text")), "wanted")).otherwise(T.word_set_of(F.array_intersect(T.long_words(F.col("text")), "forms")))
+    sized = met.select("doc_id", "par_no", F.length("text").alias("size"), shared.alias("words"))
+    whole = Window.partitionBy("doc_id")
+    sized = sized.withColumns({"n": F.count("*").over(whole), "average": F.avg("size").over(whole)})
+    held = sized.withColumn("word", F.explode("words")).withColumn("held", F.count("*").over(Window.partitionBy("doc_id", "word")))
     idf = F.log(1 + (F.col("n") - F.col("held") + 0.5) / (F.col("held") + 0.5))
-    scored = held.join(holding, ["doc_id", "word"]).groupBy("doc_id", "par_no", "size", "average").agg(F.sum(idf).alias("idf"))
+    scored = held.groupBy("doc_id", "par_no", "size", "average").agg(F.sum(idf).alias("idf"))
     return scored.select("doc_id", "par_no", "size", (F.col("idf") * 2.2 / (1 + 1.2 * (0.25 + 0.75 * F.col("size") / F.col("average")))).alias("score")).where("score > 0")
 
 
@@ -61,7 +67,7 @@ def excerpts(pars: DataFrame, asked: DataFrame, budget: int = BUDGET) -> DataFra
     A document that fits is taken whole, and one that shares nothing with its question from its start. In order of rank
     a paragraph that doesn't fit is passed over, unless it is the first.
     """
-    scores = bm25(pars, asked).select("doc_id", "par_no", "score")
+    scores = bm25(pars, asked).select("doc_id", "par_no", F.round("score", 9).alias("score"))
     sized = pars.select("doc_id", "par_no", F.length("text").alias("size")).join(scores, ["doc_id", "par_no"], "left")
     per = sized.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.coalesce("score", F.lit(0.0))).alias("rank"), "par_no", "size"))).alias("order"), F.sum("size").alias("total"), F.max("score").alias("best")
@@ -84,14 +90,16 @@ def excerpts(pars: DataFrame, asked: DataFrame, budget: int = BUDGET) -> DataFra
 def central(points: DataFrame, pars: DataFrame, most: int) -> DataFrame:
     """``doc_id, point_no, text, score``: the points whose words the document holds most, ``most`` at most, in order.
 
-    The score is the mean of ln(1 + paragraphs that hold the word) over a point's words.
+    The score is the mean of ln(1 + paragraphs that hold the word) over a point's words. Texts are left
+    behind until the points are chosen.
     """
     counts = pars.select("doc_id", F.explode(T.word_set(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    words = points.select("doc_id", "point_no", "text", F.explode_outer(T.word_set(F.col("text"))).alias("word"))
-    joined = words.join(counts, ["doc_id", "word"], "left").groupBy("doc_id", "point_no", "text")
-    scored = joined.agg(F.coalesce(F.avg(F.when(F.col("word").isNotNull(), F.log1p(F.coalesce("n", F.lit(0))))), F.lit(0.0)).alias("score"))
+    words = points.select("doc_id", "point_no", F.explode(T.word_set(F.col("text"))).alias("word"))
+    means = words.join(counts, ["doc_id", "word"], "left").groupBy("doc_id", "point_no").agg(F.avg(F.log1p(F.coalesce("n", F.lit(0)))).alias("score"))
+    scored = points.select("doc_id", "point_no").join(means, ["doc_id", "point_no"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     rank = Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "point_no")
-    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most).drop("rank")
+    top = scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most).drop("rank")
+    return top.join(points, ["doc_id", "point_no"]).select("doc_id", "point_no", "text", "score")
 
 
 def shares(texts: DataFrame, pars: DataFrame) -> DataFrame:
