@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,17 +15,22 @@ def settled(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a loop through the folder that all executors share."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        local = context.master.startswith("local[") or context.master == "local"
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or (tempfile.mkdtemp(prefix="foliant-") if local else f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master.startswith("local[") or context.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliant-"))
     out = df.checkpoint()
     gc.collect()
     return out
 
 
 def keepers(objects: DataFrame) -> DataFrame:
-    """``id, keeper``: of equal objects (``kind, content``) the one with the least id; equality is of the content itself, not of a hash."""
-    least = objects.groupBy("kind", "content").agg(F.min("id").alias("keeper"))
-    return objects.join(least, (objects.kind == least.kind) & objects.content.eqNullSafe(least.content)).select("id", "keeper")
+    """``id, keeper``: of equal objects (``kind, content``) the one with the least id. Contents meet as SHA-256 and length; they aren't moved themselves."""
+    raw = F.col("content").cast("binary")
+    marked = objects.select("id", "kind", F.sha2(raw, 256).alias("digest"), F.length(raw).alias("size"))
+    least = marked.groupBy("kind", "digest", "size").agg(F.min("id").alias("keeper"))
+    same = [marked[c].eqNullSafe(least[c]) for c in ("kind", "digest", "size")]
+    return marked.join(least, same[0] & same[1] & same[2]).select("id", "keeper")
 
 
 def share_identical(objects: DataFrame, refs: DataFrame, passes: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -66,56 +73,87 @@ def dangling(objects: DataFrame, refs: DataFrame) -> DataFrame:
     return refs.join(objects.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
 
 
+def numbered(objects: DataFrame, start: int = 1, per_slice: int = 1 << 16) -> DataFrame:
+    """``id, new``: whole-number ids counted from ``start`` in their order, each distinct id once.
+
+    Running sums go over ranges of ids: first over the sizes of ranges, then within a range.
+    """
+    ids = objects.select("id").distinct().withColumn("slice", F.floor(F.col("id") / per_slice))
+    over = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = ids.groupBy("slice").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("slice").orderBy("id"))
+    return ids.join(slices, "slice").select("id", (F.col("before") + place + (start - 1)).alias("new"))
+
+
 def renumber(objects: DataFrame, refs: DataFrame, start: int = 1) -> tuple[DataFrame, DataFrame]:
     """Objects and references with ids from ``start`` in the order of the old ones; what dangles gets one id after the last."""
-    ids = objects.select("id").rdd.map(lambda r: r.id).sortBy(lambda x: x).zipWithIndex().map(lambda x: (x[0], x[1] + start))
-    ids = objects.sparkSession.createDataFrame(ids, "id long, new long")
-    after = objects.select(F.count("*").alias("n")).select((F.col("n") + start).alias("reserved"))
+    ids = numbered(objects, start)
+    reserved = ids.agg(F.coalesce(F.max("new") + 1, F.lit(start)).alias("reserved")).first()[0]
     dst = ids.select(F.col("id").alias("dst"), F.col("new").alias("new_dst"))
     src = ids.select(F.col("id").alias("src"), F.col("new").alias("new_src"))
-    moved = refs.join(src, "src").join(dst, "dst", "left").crossJoin(F.broadcast(after))  # one row
-    return objects.join(ids, "id").drop("id").withColumnRenamed("new", "id"), moved.select(F.col("new_src").alias("src"), F.coalesce("new_dst", "reserved").alias("dst"))
+    moved = refs.join(src, "src").join(dst, "dst", "left")
+    return objects.join(ids, "id").drop("id").withColumnRenamed("new", "id"), moved.select(F.col("new_src").alias("src"), F.coalesce("new_dst", F.lit(reserved)).alias("dst"))
 
 
 def inherited(nodes: DataFrame, name: str, depth: int = 256) -> DataFrame:
     """``id, value, depth``: the nearest value of ``name`` from a node upwards along ``parent``; null where no ancestor has one.
 
-    Each round takes all nodes that still look one step up; nodes that found a value are done.
+    Each round doubles how far the open nodes look: a node takes over where the node it looks at stands. Beyond ``depth`` steps, as
+    in a cycle, the value is null and the depth one more.
     """
-    up = nodes.select(F.col("id").alias("at"), F.col("parent").alias("above"), F.col(name).alias("held"))
-    looking = nodes.select("id", F.col("id").alias("at"))
-    done = None
-    for level in range(depth + 1):
-        here = settled(looking.join(up, "at", "left"))
-        found = here.where("held is not null or above is null").select("id", F.col("held").alias("value"), F.lit(level).alias("depth"))
-        done = found if done is None else done.union(found)
-        looking = here.where("held is null and above is not null").select("id", F.col("above").alias("at"))
-        if not looking.limit(1).count():
-            return done
-    return done.union(looking.select("id", F.lit(None).cast(nodes.schema[name].dataType), F.lit(depth + 1)))
+    held, parent = F.col(name).isNotNull(), F.col("parent")
+    state = nodes.select("id", F.col(name).alias("value"), F.when(~held, parent).alias("above"), F.when(held | parent.isNull(), 0).otherwise(1).alias("depth"))
+    for _ in range(depth.bit_length() + 1):
+        state = settled(state)
+        if not state.where("above is not null").limit(1).count():
+            break
+        there = state.select(F.col("id").alias("above"), F.col("value").alias("v"), F.col("above").alias("next"), F.col("depth").alias("more"))
+        looking = state.where("above is not null").join(there, "above", "left")
+        moved = looking.select("id", F.col("v").alias("value"), F.col("next").alias("above"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        state = state.where("above is null").union(moved)
+    far = F.col("above").isNotNull() | (F.col("depth") > depth)
+    return state.select("id", F.when(~far, F.col("value")).alias("value"), F.when(far, depth + 1).otherwise(F.col("depth")).alias("depth"))
 
 
-def heading_parents(headings: DataFrame) -> DataFrame:
-    """``doc_id, idx, level, parent``: the nearest heading before with a lower level; null for none.
+OUTLINE = pa.list_(pa.struct([("idx", pa.int32()), ("level", pa.int32()), ("parent", pa.int32()), ("below", pa.int32())]))
+
+
+def outline(headings: DataFrame) -> DataFrame:
+    """``doc_id, idx, level, parent, below``: the nearest heading before with a lower level (null for none), and how many lie under it.
 
-    A document's headings are folded in order with the open ones on a stack.
+    One pass over a document's headings in order, with the open ones on a stack: what follows up to the next of its level or
+    lower lies under a heading.
     """
-    row = "struct<idx:int,level:int,parent:int>"
-    fold = F.expr(
-        f"aggregate(hs, named_struct('out', cast(array() as array<{row}>), 'open', cast(array() as array<struct<level:int,idx:int>>)), (a, h) -> named_struct("
-        "'out', concat(a.out, array(named_struct('idx', h.idx, 'level', h.level, 'parent', try_element_at(filter(a.open, o -> o.level < h.level), -1).idx))), "
-        "'open', concat(filter(a.open, o -> o.level < h.level), array(named_struct('level', h.level, 'idx', h.idx)))), a -> a.out)"
-    )
+    kind = headings.schema["doc_id"].dataType.simpleString()
     per = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("level").cast("int").alias("level")))).alias("hs"))
-    return per.select("doc_id", F.inline(fold))
-
-
-def subtree_counts(parents: DataFrame) -> DataFrame:
-    """``doc_id, idx, below``: how many headings lie under each, at any depth: those after it before the next of its level or lower."""
-    per = parents.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "level"))).alias("hs"))
-    out = F.transform("hs", lambda h, i: F.struct(
-        h["idx"].alias("idx"),
-        (F.coalesce(F.array_min(F.transform(F.filter("hs", lambda o: (o["idx"] > h["idx"]) & (o["level"] <= h["level"])), lambda o: o["idx"])), F.array_max(F.transform("hs", lambda o: o["idx"])) + 1)).alias("end"),
-    ))
-    spans = per.select("doc_id", "hs", F.explode(out).alias("s"))
-    return spans.select("doc_id", F.col("s.idx").alias("idx"), F.size(F.filter("hs", lambda o: (o["idx"] > F.col("s.idx")) & (o["idx"] < F.col("s.end")))).alias("below"))
+
+    def fold(rows: list[dict]) -> list[dict]:
+        out, open_ = [], []
+        for at, row in enumerate(rows):
+            lower = len(open_)
+            while lower and open_[lower - 1][0] >= row["level"]:
+                lower -= 1
+                out[open_[lower][1]]["below"] = at - open_[lower][1] - 1
+            del open_[lower:]
+            out.append(row | {"parent": rows[open_[-1][1]]["idx"] if open_ else None, "below": 0})
+            open_.append((row["level"], at))
+        for _, at in open_:
+            out[at]["below"] = len(rows) - at - 1
+        return out
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fold(hs) for hs in batch.column("hs").to_pylist()], OUTLINE)], ["doc_id", "hs"])
+
+    folded = per.mapInArrow(run, f"doc_id {kind}, hs array<struct<idx: int, level: int, parent: int, below: int>>")
+    return folded.select("doc_id", F.inline("hs"))
+
+
+def heading_parents(headings: DataFrame) -> DataFrame:
+    """``doc_id, idx, level, parent``: the nearest heading before with a lower level; null for none."""
+    return outline(headings).select("doc_id", "idx", "level", "parent")
+
+
+def subtree_counts(headings: DataFrame) -> DataFrame:
+    """``doc_id, idx, below``: how many headings lie under each, at any depth."""
+    return outline(headings).select("doc_id", "idx", "below")
