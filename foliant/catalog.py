@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import geometry
 from foliant.functions import text as T
 from foliant.operators import compare, forms, graphs, layout, measures, pages, retrieval, search, spatial
+from foliant.registry import QUERIES, SQL, Query, query, read
 from foliant.sources import html, markdown, pdf
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def pars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.paragraphs(read(spark, sf_dir, "documents"))
 
@@ -41,7 +21,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Parts of SQL that several queries begin with.
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-WORDS = f"""list_distinct([regexp_replace(w, 's$', '') for w in regexp_extract_all(lower(%s), '[\\p{{L}}\\p{{N}}]+') if length(w) > 2 and not list_contains([{STOP}], w)])"""
+WORDS = f"""list_distinct([regexp_replace(w, 's$', '') for w in regexp_extract_all(lower(%s), '[\\p{{L}}\\p{{N}}]{{3,}}') if w not in ({STOP})])"""
 PARS = """
 lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as par_no from documents),
 pars as (select doc_id, par_no::integer as par_no, (par_no // 10 + 1)::integer as page_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) as text from lines)
@@ -63,7 +43,12 @@ def bm25_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(pars(spark, sf_dir), asked(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(BM25.replace("with", "with recursive", 1) + """, s as (select p.doc_id, p.par_no, length(p.text) as size, round(score, 9) as score from pars p left join (select * from scored where score > 0) using (doc_id, par_no)),
+per as (select doc_id, sum(size) as total, max(score) as best from s group by doc_id),
+ranked as (select s.*, total, row_number() over (partition by doc_id order by -coalesce(score, 0), par_no) as k from s join per using (doc_id) where total > 10000 and (best is null or score is not null)),
+walk as (select doc_id, k, par_no, size::bigint as length, true as keep from ranked where k = 1
+  union all select r.doc_id, r.k, r.par_no, case when w.length >= 10000 or w.length + r.size > 10000 then w.length else w.length + r.size end, not (w.length >= 10000 or w.length + r.size > 10000) from walk w join ranked r on r.doc_id = w.doc_id and r.k = w.k + 1)
+select doc_id, par_no from s join per using (doc_id) where total <= 10000 union all select doc_id, par_no from walk where keep""")
 def bm25_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.excerpts(pars(spark, sf_dir), asked(spark, sf_dir))
 
@@ -103,7 +88,8 @@ def central_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SHARES = f"""with {PARS}, {ASKED},
 said as (select doc_id, {WORDS % "question"} as words from asked),
-shares as (select doc_id, par_no, page_no, len(list_intersect({WORDS % "text"}, words)) / len(words)::double as share from pars join said using (doc_id) where len(words) > 0)
+held as (select doc_id, par_no, page_no, {WORDS % "text"} as own from pars),
+shares as materialized (select doc_id, par_no, page_no, len(list_intersect(own, words)) / len(words)::double as share from held join said using (doc_id) where len(words) > 0)
 """
 
 
@@ -119,7 +105,16 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.sources(asked(spark, sf_dir).select("doc_id", F.col("question").alias("said")), pars(spark, sf_dir))
 
 
-@query()
+CUT = "case when length({0}) <= 5000 then length({0}) when instr(reverse({0}[1:5001]), ' ') in (0, 5001) then 5000 else 5002 - instr(reverse({0}[1:5001]), ' ') end"
+
+
+@query(f"""with recursive {PARS}, cuts as (select doc_id, par_no, 0 as n, text[1:{CUT.format("text")}] as piece, text[{CUT.format("text")} + 1:] as rest from pars where text <> ''
+  union all select doc_id, par_no, n + 1, rest[1:{CUT.format("rest")}], rest[{CUT.format("rest")} + 1:] from cuts where rest <> ''),
+pieces as (select doc_id, par_no, trim(piece) as text, row_number() over (partition by doc_id order by par_no, n) as k from cuts),
+walk as (select doc_id, k, par_no, text, 0 as part_no, length(text)::bigint + 2 as used from pieces where k = 1
+  union all select p.doc_id, p.k, p.par_no, p.text, case when w.used + length(p.text) > 5000 then w.part_no + 1 else w.part_no end, case when w.used + length(p.text) > 5000 then 0 else w.used end + length(p.text) + 2
+  from walk w join pieces p on p.doc_id = w.doc_id and p.k = w.k + 1)
+select doc_id, part_no::integer as part_no, par_no, text as piece from walk""")
 def parts_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.parts(read(spark, sf_dir, "documents"))
 
@@ -145,7 +140,8 @@ def find_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(F.contains("text", F.lit("the "))).select("doc_id", "par_no", F.regexp_count("text", F.lit("the ")).cast("long").alias("hits"))
 
 
-@query()
+@query(f"""with {PARS}, p as (select doc_id, par_no, string_split(lower(text), 'of the') as p from pars), u as (select doc_id, par_no, p, unnest(generate_series(1, len(p) - 1)) as i from p where len(p) > 1)
+select doc_id, par_no, length(array_to_string(p[1:i], 'of the'))::integer as at from u""")
 def find_text_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.found(pars(spark, sf_dir), "of the")
 
@@ -238,7 +234,7 @@ def share_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def object_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers as objects that refer to the customers of their number, which refer on; every seventh is a root."""
+    """Orders as objects that refer to the order of three times their number and one; not every fifth."""
     ids = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     refs = ids.select(F.col("id").alias("src"), (F.col("id") * 3 + 1).alias("dst")).where("src % 5 <> 0")
     return ids, refs
@@ -288,30 +284,30 @@ def outline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.subtree_counts(heading_table(spark, sf_dir))
 
 
-# Glyphs: a character grid over pages that are made of nations' names.
-GLYPHS = """names as (select n_nationkey as source, unnest(generate_series(0, 119)) as i, n_name from nation),
-glyphs as (select source, (1 + i // 60)::integer as page_no, i::integer as glyph_no, substr(n_name || ' of the ', (i % (length(n_name) + 8) + 1)::bigint, 1) as text,
-  (i % 20) * 0.04 as l, (i % 60 // 20) * 0.25 + 0.1 as t, (i % 20) * 0.04 + 0.035 as r, (i % 60 // 20) * 0.25 + 0.15 as b from names),
-areas as (select source, page_no, unnest([0.0, 0.5]) as l, unnest([0.09, 0.36]) as t, unnest([0.1 + source * 0.011, 0.775]) as r, unnest([0.12, 0.41]) as b from (select distinct source, page_no from glyphs)),
+# Glyphs: a character grid over two pages for each part, made of its name; the middle of a row has a gap.
+GLYPHS = """names as (select p_partkey as source, unnest(generate_series(0, 119)) as i, p_name from part),
+glyphs as (select source, (1 + i // 60)::integer as page_no, i::integer as glyph_no, substr(p_name || ' of the ', (i % (length(p_name) + 8) + 1)::bigint, 1) as text, (i % 60 // 20)::integer as row_no,
+  (i % 20) * 0.04::double + (i % 20 // 10) * 0.03::double as l, (i % 60 // 20) * 0.25 + 0.1 as t, (i % 20) * 0.04::double + 0.035::double + (i % 20 // 10) * 0.03::double as r, (i % 60 // 20) * 0.25 + 0.15 as b from names),
+areas as (select source, page_no, unnest([0.0, 0.5]) as l, unnest([0.09, 0.36]) as t, unnest([0.1 + source % 25 * 0.011, 0.775]) as r, unnest([0.12, 0.41]) as b from (select distinct source, page_no from glyphs)),
 met as (select g.source, g.page_no, g.glyph_no, sum(case when least(g.r, a.r) > greatest(g.l, a.l) and least(g.b, a.b) > greatest(g.t, a.t) then (least(g.r, a.r) - greatest(g.l, a.l)) * (least(g.b, a.b) - greatest(g.t, a.t)) else 0 end) as o,
   bool_or(g.l >= a.l and g.r <= a.r and g.t >= a.t and g.b <= a.b) as inside from glyphs g join areas a using (source, page_no) group by all)"""
 
 
 def glyph_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("i")
-    names = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source"), F.explode(F.sequence(F.lit(0), F.lit(119))).alias("i"), F.concat("n_name", F.lit(" of the ")).alias("name"))
-    row = F.floor(i % 60 / 20)
+    names = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("source"), F.explode(F.sequence(F.lit(0), F.lit(119))).alias("i"), F.concat("p_name", F.lit(" of the ")).alias("name"))
+    row, gap = F.floor(i % 60 / 20), F.floor(i % 20 / 10) * F.lit(0.03)
     d = lambda c: c.cast("double")
     return names.select(
         "source", (1 + F.floor(i / 60)).cast("int").alias("page_no"), i.alias("glyph_no"), F.substring("name", i % F.length("name") + 1, F.lit(1)).alias("text"),
-        d(i % 20 * F.lit(0.04)).alias("l"), d(row * F.lit(0.25) + 0.1).alias("t"), d(i % 20 * F.lit(0.04) + 0.035).alias("r"), d(row * F.lit(0.25) + 0.15).alias("b"),
+        d(i % 20 * F.lit(0.04) + gap).alias("l"), d(row * F.lit(0.25) + 0.1).alias("t"), d(i % 20 * F.lit(0.04) + 0.035 + gap).alias("r"), d(row * F.lit(0.25) + 0.15).alias("b"),
     )
 
 
 def area_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = glyph_table(spark, sf_dir).select("source", "page_no").distinct()
     one = lambda *v: F.struct(*[F.lit(x).cast("double").alias(n) if not hasattr(x, "cast") else x.cast("double").alias(n) for n, x in zip("ltrb", v, strict=True)])
-    return base.select("source", "page_no", F.inline(F.array(one(0.0, 0.09, F.lit(0.1) + F.col("source") * 0.011, 0.12), one(0.5, 0.36, 0.775, 0.41))))
+    return base.select("source", "page_no", F.inline(F.array(one(0.0, 0.09, F.lit(0.1) + F.col("source") % 25 * 0.011, 0.12), one(0.5, 0.36, 0.775, 0.41))))
 
 
 @query(f"with {GLYPHS} select g.source, g.page_no, g.glyph_no, g.text from glyphs g left join met using (source, page_no, glyph_no) where coalesce(o, 0) < 0.25 * ((g.r - g.l) * (g.b - g.t))")
@@ -324,7 +320,7 @@ def spilled_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.spilled(glyph_table(spark, sf_dir), area_table(spark, sf_dir)).select("source", "page_no", "glyph_no")
 
 
-@query(f"""with {GLYPHS}, m as (select *, coalesce(abs((t + b) / 2 - (lag(t) over w + lag(b) over w) / 2) >= 0.05 / 2, true) as new_line, trim(text) = '' as blank, coalesce(trim(lag(text) over w) = '', true) as was_blank from glyphs window w as (partition by source, page_no order by glyph_no)),
+@query(f"""with {GLYPHS}, m as (select *, coalesce(abs((t + b) / 2 - (lag(t) over w + lag(b) over w) / 2) >= 0.05 / 2, true) as new_line, trim(text) = '' as blank, coalesce(trim(lag(text) over w) = '' or l - lag(r) over w > greatest(lag(r) over w - lag(l) over w, r - l) / 3, true) as was_blank from glyphs window w as (partition by source, page_no order by glyph_no)),
 s as (select *, sum(new_line::integer) over w - 1 as line_no, sum((not blank and (new_line or was_blank))::integer) over w - 1 as word_no from m window w as (partition by source, page_no order by glyph_no rows between unbounded preceding and current row))
 select source, page_no, line_no::bigint as line_no, word_no::bigint as word_no, string_agg(text, '' order by glyph_no) as text, round(min(l)::double, 6) as l, round(max(r)::double, 6) as r from s where not blank group by source, page_no, line_no, word_no""")
 def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,14 +437,21 @@ def sized_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyph_table(spark, sf_dir).withColumns({"size": F.lit(24.0), "width": F.lit(600.0), "height": F.lit(800.0)})
 
 
-@query()
+RUNS = f"""{GLYPHS}, shown as (select *, min(case when trim(text) <> '' then glyph_no end) over w as low, max(case when trim(text) <> '' then glyph_no end) over w as high from glyphs window w as (partition by source, page_no, row_no)),
+rows as (select source, page_no, row_no, min(l) * 600 as x0, max(r) * 600 as x1, max(b) * 800 as y, trim(regexp_replace(string_agg(case when glyph_no % 20 = 10 and glyph_no > low then ' ' else '' end || text, '' order by glyph_no), '\\s+', ' ', 'g')) as text
+  from shown where glyph_no between low and high group by all)"""
+
+
+@query(f"with {RUNS} select source, page_no, (row_number() over (partition by source, page_no order by row_no) - 1)::integer as run_no, round(x0, 6) as x0, round(x1, 6) as x1, round(y, 6) as y, 24.0::double as size, text, false as bold from rows")
 def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.runs(sized_glyphs(spark, sf_dir))
+    return layout.runs(sized_glyphs(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("x0", "x1", "y")})
 
 
-@query()
+@query(f"""with {RUNS}, worth as (select * from rows where length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) > 1)
+select source, page_no, (row_number() over (partition by source, page_no order by row_no) - 1)::integer as block_no, round(x0, 6) as x0, round(x1, 6) as x1, round(y, 6) as y, 24.0::double as size, 1 as lines,
+  case when abs((x0 + x1) / 2 - 300) <= 12 and x0 > 90 then 'center' when x0 > 300 and x1 > 510 then 'right' else 'left' end as align, false as bold, text from worth""")
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.blocks(sized_glyphs(spark, sf_dir))
+    return layout.blocks(sized_glyphs(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("x0", "x1", "y")})
 
 
 @query("""with p as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity as a, l_discount as b, l_tax as c, l_quantity + 1 as d, l_partkey % 7 as e, l_suppkey % 5 as f from lineitem),
@@ -538,18 +541,23 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.part_names(parts, "page", "pdf")
 
 
-TOOLS = ((0, "Merge PDF", "join combine", "organize"), (1, "Word to PDF", "docx convert", "convert"), (2, "PDF to Word", "docx convert", "convert"), (3, "Compress PDF", "shrink smaller", "optimize"), (4, "Split PDF", "cut pages", "organize"))
-
-
-@query()
+@query("""with asked(a, most) as (values ('smal', 1), ('rign', 1)),
+words as (select p_partkey as pos, unnest(string_split(lower(p_name), ' ')) as w, 0.0 as weight from part union all select p_partkey, unnest(regexp_extract_all(lower(p_type), '[a-z0-9]+')), 0.3 from part
+  union all select p_partkey, unnest(regexp_extract_all(lower(p_brand) || ' pdf', '[a-z0-9]+')), 0.5 from part),
+costs as (select pos, a, min(weight + case when w = a then 0 when starts_with(w, a) then 0.12 when contains(w, a) then 0.25 when damerau_levenshtein(a, w) <= most then 0.6 + 0.15 * damerau_levenshtein(a, w) end) as cost from words, asked group by pos, a)
+select pos, round(sum(cost)::double, 6) as score from costs group by pos having count(cost) = 2""")
 def tool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tools = spark.createDataFrame(TOOLS, "pos int, label string, keywords string, category string")
-    return search.search(tools, "comprses")
+    """Parts as a catalogue, asked for with two typing errors."""
+    tools = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("label"), F.col("p_type").alias("keywords"), F.col("p_brand").alias("category"))
+    return search.search(tools, "smal rign").select("pos", F.round("score", 6).alias("score"))
 
 
 def queries() -> dict[str, Query]:
+    from foliant import catalog_files, catalog_marks, catalog_rules, catalog_text  # noqa: F401  (they register their queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

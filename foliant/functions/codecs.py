@@ -98,3 +98,25 @@ def smaller(a: Column, b: Column) -> Column:
 def packed(data: Column, least: int = 64) -> Column:
     """A stream deflated anew if it is long enough and that is smaller."""
     return F.when(F.length(data) >= least, smaller(data, deflated(data))).otherwise(data)
+
+
+@F.pandas_udf(BinaryType())
+def run_length_read(data: pd.Series) -> pd.Series:
+    return data.map(lambda d: None if d is None else run_length(bytes(d)))
+
+
+@F.pandas_udf(BinaryType())
+def hex_read(data: pd.Series) -> pd.Series:
+    return data.map(lambda d: None if d is None else hex_decode(bytes(d)))
+
+
+@F.pandas_udf(BinaryType())
+def rc4_applied(key: pd.Series, data: pd.Series) -> pd.Series:
+    """RC4 with a key of its own for each row; applied twice, the data again."""
+    return pd.Series([None if d is None else rc4(bytes(k), bytes(d)) for k, d in zip(key, data, strict=True)])
+
+
+@F.pandas_udf(BinaryType())
+def rows_unfiltered(data: pd.Series, columns: pd.Series) -> pd.Series:
+    """PNG rows of ``columns`` bytes without their filters."""
+    return pd.Series([None if d is None else unpredict(bytes(d), 15, 1, 8, int(c)) for d, c in zip(data, columns, strict=True)])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 #: Characters of the Windows-1252 encoding beyond Latin-1, by rule from the codec.
 WIN_ANSI = {c: i for i in range(32, 256) if (c := bytes([i]).decode("cp1252", "ignore"))}
@@ -55,14 +57,10 @@ def in_space(code: bytes, space: tuple[int, int, int]) -> bool:
 
 
 def code_length(spaces: list[tuple[int, int, int]], data: bytes) -> int:
-    """Bytes of the next code: the shortest that a space holds, else of the first space that its first byte fits, else one."""
-    for n in range(1, 5):
-        if len(data) >= n and any(in_space(data[:n], s) for s in spaces):
-            return n
-    for n, low, high in spaces:
-        if low.to_bytes(n, "big")[0] <= data[0] <= high.to_bytes(n, "big")[0]:
-            return n
-    return 1
+    """Bytes of the next code: the shortest that a space holds, else of the first space that its first byte fits (as far as there are bytes), else one."""
+    held = [n for n in range(1, min(4, len(data)) + 1) if any(in_space(data[:n], s) for s in spaces)]
+    near = [n for n, low, high in spaces if data and low.to_bytes(n, "big")[0] <= data[0] <= high.to_bytes(n, "big")[0]]
+    return max(1, min((held or near or [1])[0], len(data)))
 
 
 def to_unicode(cmap: str) -> dict[tuple[int, int], str]:
@@ -128,3 +126,26 @@ def glyph_text(name: str) -> str | None:
         else:
             return None
     return out or None
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def win_ansi_codes(text: pd.Series) -> pd.Series:
+    """The standard encoding's code of each character; null for characters without one."""
+    return text.map(lambda t: None if t is None else [WIN_ANSI.get(c) for c in t])
+
+
+@F.pandas_udf(StringType())
+def glyph_texts(name: pd.Series) -> pd.Series:
+    return name.map(lambda n: None if n is None else glyph_text(n))
+
+
+@F.pandas_udf(StringType())
+def unicode_map(characters: pd.Series) -> pd.Series:
+    """A map from the codes 0, 1, 2 ... to the characters of a text."""
+    return characters.map(lambda t: None if t is None else write_to_unicode(dict(enumerate(t))))
+
+
+@F.pandas_udf(StringType())
+def mapped_text(cmap: pd.Series) -> pd.Series:
+    """The text of all two-byte codes of a map, in order."""
+    return cmap.map(lambda m: None if m is None else "".join(t for _, t in sorted(to_unicode(m).items())))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 Point = tuple[float, float]
 Rect = tuple[float, float, float, float]
@@ -137,3 +139,39 @@ def touches(polygon: list[Point], rect: Rect) -> bool:
         elif q[1] <= t < p[1] and side < 0:
             turns -= 1
     return turns != 0
+
+
+def corners(l: Column, t: Column, r: Column, b: Column) -> Column:
+    """A rectangle as a polygon, an array of [x, y]."""
+    return F.array(F.array(l, t), F.array(r, t), F.array(r, b), F.array(l, b))
+
+
+def points_of(polygon) -> list[Point]:
+    return [(float(x), float(y)) for x, y in polygon]
+
+
+@F.pandas_udf(DoubleType())
+def area_left(polygon: pd.Series, rect: pd.Series) -> pd.Series:
+    """What a rectangle leaves of a polygon's area."""
+    return pd.Series([sum(area(p) for p in subtracted(points_of(a), tuple(map(float, r)))) for a, r in zip(polygon, rect, strict=True)])
+
+
+@F.pandas_udf(BooleanType())
+def meet(polygon: pd.Series, rect: pd.Series) -> pd.Series:
+    return pd.Series([touches(points_of(a), tuple(map(float, r))) for a, r in zip(polygon, rect, strict=True)])
+
+
+@F.pandas_udf(DoubleType())
+def length_outside(segment: pd.Series, rects: pd.Series) -> pd.Series:
+    """The length of a segment (two points) outside of all rectangles."""
+    out = []
+    for s, held in zip(segment, rects, strict=True):
+        a, b = points_of(s)
+        out.append(sum(math.dist(p, q) for p, q in segment_outside(a, b, [tuple(map(float, r)) for r in held])))
+    return pd.Series(out)
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])))
+def flattened(cubic: pd.Series, tolerance: pd.Series) -> pd.Series:
+    """The points of a cubic, given by its four points."""
+    return pd.Series([[{"x": x, "y": y} for x, y in curve(*points_of(c), t)] for c, t in zip(cubic, tolerance, strict=True)])

@@ -212,6 +212,17 @@ def read_glyphs(pages: DataFrame) -> DataFrame:
     return some.mapInPandas(run, "source string, page_no int, glyph_no int, text string, l double, t double, r double, b double, size double")
 
 
+def page_texts(pages: DataFrame) -> DataFrame:
+    """``path, page_no, text``: the characters of each page in the order in which they are drawn."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            part["text"] = ["".join(g["text"] for g in glyphs(bytes(raw))) for raw in part["content"]]
+            yield part[["path", "page_no", "text"]]
+
+    return pages.where("page_no is not null").select("path", "page_no", "content").mapInPandas(run, "path string, page_no int, text string")
+
+
 def write_files(pages: DataFrame) -> DataFrame:
     """``out, file``: pages (out, pos, width, height, rotate, content) put together into files by ``out``, in the order of ``pos``."""
 
