@@ -73,11 +73,8 @@ def apart(before: dict[str, Column], after: dict[str, Column]) -> Column:
     return after["l"] - before["r"] > F.greatest(before["r"] - before["l"], after["r"] - after["l"]) / 3
 
 
-def words(glyphs: DataFrame) -> DataFrame:
-    """``source, page_no, line_no, word_no, text, l, t, r, b``: glyphs in order as words; a new line, a gap or a blank ends one.
-
-    Lines are counted over a page from 0, words over a document's page from 0.
-    """
+def word_numbers(glyphs: DataFrame) -> DataFrame:
+    """Glyphs with ink with ``line_no`` and ``word_no``: a new line, a gap or a blank ends a word. Both are counted over a page from 0."""
     order = Window.partitionBy(*PLACE).orderBy("glyph_no")
     before = {c: F.lag(c).over(order) for c in "ltrb"}
     own = {c: F.col(c) for c in "ltrb"}
@@ -85,9 +82,14 @@ def words(glyphs: DataFrame) -> DataFrame:
     marked = glyphs.withColumns({"new_line": F.coalesce(~same_line(before, own), F.lit(True)), "gap": F.coalesce(apart(before, own), F.lit(True)), "blank": blank, "was_blank": F.coalesce(F.lag(blank).over(order), F.lit(True))})
     marked = marked.withColumn("starts", ~F.col("blank") & (F.col("new_line") | F.col("gap") | F.col("was_blank")))
     run = order.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = marked.withColumns({"line_no": F.sum(F.col("new_line").cast("int")).over(run) - 1, "word_no": F.sum(F.col("starts").cast("int")).over(run) - 1}).where("not blank")
+    numbered = marked.withColumns({"line_no": F.sum(F.col("new_line").cast("int")).over(run) - 1, "word_no": F.sum(F.col("starts").cast("int")).over(run) - 1})
+    return numbered.where("not blank").select(*glyphs.columns, "line_no", "word_no")
+
+
+def words(glyphs: DataFrame) -> DataFrame:
+    """``source, page_no, line_no, word_no, text, l, t, r, b``: glyphs in order as words."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("glyph_no", "text"))), lambda g: g["text"]), "")
-    return numbered.groupBy(*PLACE, "line_no", "word_no").agg(text.alias("text"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
+    return word_numbers(glyphs).groupBy(*PLACE, "line_no", "word_no").agg(text.alias("text"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
 
 
 def nearest(glyphs: DataFrame, points: DataFrame, reach: float) -> DataFrame:
@@ -105,12 +107,3 @@ def merged_intervals(spans: DataFrame, keys: list[str]) -> DataFrame:
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0))
     return marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
-
-
-def tile_centers(width: float, height: float, half_w: float, half_h: float, gap: float, most: int = 1000) -> tuple[int, int, float, float]:
-    """Columns, rows and steps of a brick grid that covers a page; more than ``most`` tiles are refused."""
-    step_x, step_y = 2 * half_w + gap, 2 * half_h + gap
-    columns, rows = int(width // step_x) + 2, int(height // step_y) + 2
-    if columns * rows > most:
-        raise ValueError("too many tiles")
-    return columns, rows, step_x, step_y
