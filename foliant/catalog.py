@@ -553,7 +553,7 @@ def tool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from foliant import catalog_files, catalog_marks, catalog_reading, catalog_rules, catalog_text, catalog_workspace  # noqa: F401  (they register their queries)
+    from foliant import catalog_files, catalog_marks, catalog_pixels, catalog_reading, catalog_rules, catalog_text, catalog_workspace  # noqa: F401  (they register their queries)
 
     return dict(QUERIES)
 

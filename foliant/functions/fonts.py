@@ -29,6 +29,23 @@ def missing(text: Column, covered: Column) -> Column:
     return F.array_join(F.filter(F.array_except(F.split(text, ""), covered), lambda c: F.trim(c) != ""), "")
 
 
+def east_asian_faces(text: Column, language: Column) -> Column:
+    """Which faces text in Chinese, Japanese or Korean needs: by its scripts, else by the reader's language, else the simplified one."""
+    kana, hangul, han = text.rlike(r"[\p{IsHiragana}\p{IsKatakana}]"), text.rlike(r"\p{IsHangul}"), text.rlike(r"\p{IsHan}")
+    tag = F.lower(language)
+    read = F.when(tag.startswith("ja"), "japanese").when(tag.startswith("ko"), "korean").when(tag.rlike("^zh-(tw|hk|mo|hant)"), "traditional").otherwise("simplified")
+    own = F.array_compact(F.array(F.when(kana, F.lit("japanese")), F.when(hangul, F.lit("korean"))))
+    return F.when(F.size(own) > 0, own).when(han, F.array(read)).otherwise(F.array().cast("array<string>"))
+
+
+def first_uncovered(text: Column, covers: list[str]) -> Column:
+    """The first character outside of the standard encoding that none of the patterns covers; null if there is none."""
+    extra = "".join(c for c in WIN_ANSI if ord(c) > 255)
+    known = "[\\x20-\\x7e\\u00a0-\\u00ff\n\r" + extra + "]"
+    letters = F.filter(F.split(text, ""), lambda c: (c != "") & ~c.rlike("|".join([known, *covers])))
+    return F.try_element_at(letters, F.lit(1))
+
+
 def hexes(raw: str) -> list[bytes]:
     return [bytes.fromhex(h.replace(" ", "")) for h in re.findall(r"<([0-9A-Fa-f\s]*)>", raw)]
 

@@ -200,3 +200,15 @@ def marker(kind: str, n: int) -> str | None:
 @F.pandas_udf(StringType())
 def marker_text(kind: pd.Series, ordinal: pd.Series) -> pd.Series:
     return pd.Series([marker(k, int(n)) for k, n in zip(kind, ordinal, strict=True)])
+
+
+def canonical(entries: Column) -> Column:
+    """A map of texts as one text that tells equal maps: keys in order, each part with its length."""
+    part = lambda tag, t: F.concat(F.lit(tag), F.octet_length(t).cast("string"), F.lit(":"), t)
+    pairs = F.array_sort(F.map_entries(entries))
+    return F.concat(F.lit("D"), F.size(pairs).cast("string"), F.lit(":"), F.array_join(F.transform(pairs, lambda e: F.concat(part("K", e["key"]), part("S", e["value"]))), ""))
+
+
+def names_in(dictionary: Column) -> Column:
+    """The names that a dictionary's text holds, once each, in order."""
+    return F.array_distinct(F.regexp_extract_all(dictionary, F.lit(r"/([^\s/<>\[\]()]+)"), F.lit(1)))

@@ -160,3 +160,25 @@ def ink_and_paper(pixels: DataFrame, keys: list[str]) -> DataFrame:
     inked = away.join(farthest, keys).where((F.col("far") >= FAR) & (F.col("away") >= F.col("far") * NEAR_FARTHEST))
     ink = inked.groupBy(*keys).agg(*[F.floor(F.avg(c) + 0.5).cast("int").alias(f"ink_{n}") for c, n in (("r", "red"), ("g", "green"), ("b", "blue"))])
     return paper.join(ink, keys, "left").select(*paper.columns, *[F.coalesce(f"ink_{n}", F.lit(0)).alias(f"ink_{n}") for n in ("red", "green", "blue")])
+
+
+def signature_box(left: Column, top: Column, width: Column, page_w: Column, page_h: Column, aspect: Column) -> Column:
+    """Where an image of a signature stands in points from the bottom left: its place and width are fractions of the page, its height follows."""
+    w = width * page_w
+    return F.struct((left * page_w).alias("l"), (page_h - top * page_h - w * aspect).alias("b"), (left * page_w + w).alias("r"), (page_h - top * page_h).alias("t"))
+
+
+def appearances(annotations: DataFrame) -> DataFrame:
+    """``id, stream, matrix`` of annotations that flattening can draw: shown, no popup, with a normal appearance that fits its rectangle."""
+    shown = (F.coalesce(F.col("flags"), F.lit(0)).bitwiseAND(F.lit(HIDDEN | NO_VIEW)) == 0) & (F.col("subtype") != "Popup")
+    drawn = annotations.where(shown).withColumn("stream", chosen_state(F.col("stream"), F.col("states"), F.col("state")))
+    placed = drawn.withColumn("matrix", placement(F.col("box"), F.col("form_matrix"), F.col("rect"), F.coalesce("flags", F.lit(0)), F.col("rotation")))
+    return placed.where("stream is not null and matrix is not null").select("id", "stream", "matrix")
+
+
+def undescribed(elements: DataFrame, touched: DataFrame) -> DataFrame:
+    """``elements`` (source, page_no, mark, entries) without what they say of content that was taken out (source, page_no, mark)."""
+    flag = touched.select("source", "page_no", "mark").distinct().withColumn("_gone", F.lit(True))
+    plain = F.map_filter("entries", lambda k, v: ~k.isin("ActualText", "Alt", "E"))
+    joined = elements.join(flag, ["source", "page_no", "mark"], "left")
+    return joined.withColumn("entries", F.when(F.col("_gone"), plain).otherwise(F.col("entries"))).drop("_gone")

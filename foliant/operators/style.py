@@ -101,3 +101,17 @@ def numbered_images(uses: DataFrame) -> DataFrame:
     first = uses.groupBy("page", "key").agg(F.min("pos").alias("first"))
     ids = first.select("page", "key", (F.row_number().over(Window.partitionBy("page").orderBy("first")) - 1).alias("image"))
     return uses.join(ids, ["page", "key"]).select(*uses.columns, "image")
+
+
+def generated_text(content: Column, attributes: Column) -> Column:
+    """The text that a style's content makes: quoted strings and values of attributes, joined; null for none and for pictures alone."""
+    parts = F.regexp_extract_all(content, F.lit(r"""(\"[^\"]*\"|'[^']*'|attr\([^)]*\))"""), F.lit(1))
+    one = lambda p: F.when(p.startswith("attr("), F.coalesce(F.try_element_at(attributes, F.regexp_extract(p, r"attr\(\s*([^)\s]*)\s*\)", 1)), F.lit(""))).otherwise(F.substring(p, F.lit(2), F.length(p) - 2))
+    return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, one), ""))
+
+
+def first_line(item: Column) -> Column:
+    """The first text of a list item's HTML that isn't blank and comes before a list inside it; null without any."""
+    own = F.regexp_extract(item, r"(?is)^(.*?)(?:<(?:ul|ol)\b.*)?$", 1)
+    texts = F.filter(F.transform(F.split(own, "<[^>]*>"), lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: t != "")
+    return F.try_element_at(texts, F.lit(1))

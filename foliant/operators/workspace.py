@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.codecs import packed, smaller
 from foliant.functions.text import nfkc, squeeze, xml_escape, xmp_date
 from foliant.operators import measures, pages
 
@@ -182,3 +183,24 @@ def padded_area(box: Column, padding: float, width: Column, height: Column, leas
 
     (l, r), (t, b) = grown(box["l"], box["r"], width), grown(box["t"], box["b"], height)
     return F.struct(l.alias("l"), t.alias("t"), r.alias("r"), b.alias("b"))
+
+
+def signature(*options: Column) -> Column:
+    """A text that changes with any of the options."""
+    return F.to_json(F.struct(*options))
+
+
+def compressed(streams: DataFrame, thumbnails: bool = True) -> DataFrame:
+    """``streams`` (source, id, kind, entries, data) with data deflated anew where that is smaller, without metadata and, on demand, thumbnails.
+
+    Streams of metadata go, external files of the others aren't looked up.
+    """
+    gone = ["Metadata", "Thumb"] if thumbnails else ["Metadata"]
+    kept = streams.where(~F.col("kind").isin("metadata", *(["thumbnail"] if thumbnails else [])))
+    return kept.withColumns({"entries": stripped(F.col("entries"), *gone, "F", "FFilter", "FDecodeParms"), "data": packed(F.col("data"))})
+
+
+def smaller_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``source, file``: a file after compression unless it was smaller before."""
+    old = before.select("source", F.col("file").alias("old"))
+    return after.join(old, "source").select("source", smaller(F.col("old"), F.col("file")).alias("file"))

@@ -1,12 +1,13 @@
 """PDF files as tables: a small reader and writer of classic files, in plain Python inside Arrow and pandas stages.
 
-It reads objects by their ``n g obj`` marks, Flate streams, inherited page attributes, and text drawn with Tj, TJ and ' in
-single-byte fonts. Damaged files become a row with a status, never a lost row. Encryption, object streams, composite fonts,
-images and rendering are outside; such files are told by their status.
+It reads objects by their ``n g obj`` marks and from object streams, Flate streams, inherited page attributes, and text in simple and
+composite fonts with their widths and maps to Unicode, placed by text and page matrices. Damaged files become a row with a status, never a
+lost row. Encryption, images and rendering are outside; such files are told by their status.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -14,7 +15,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
+
+from foliant.functions.fonts import to_unicode, widths
 
 OBJECT = re.compile(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj\b", re.S)
 STREAM = re.compile(rb"^(.*?)\bstream\r?\n(.*?)\r?\n?endstream", re.S)
@@ -33,7 +36,10 @@ def inflate(data: bytes, most: int = LARGEST) -> bytes | None:
 
 
 def objects(raw: bytes) -> dict[int, tuple[bytes, bytes | None]]:
-    """Dictionary text and stream bytes (decoded where Flate) by object number; a later object with a number replaces an earlier one."""
+    """Dictionary text and stream bytes (decoded where Flate) by object number; a later object with a number replaces an earlier one.
+
+    Objects packed in streams count where no object of their number stands by itself.
+    """
     out = {}
     for m in OBJECT.finditer(raw):
         s = STREAM.search(m[3])
@@ -44,9 +50,36 @@ def objects(raw: bytes) -> dict[int, tuple[bytes, bytes | None]]:
             out[int(m[1])] = (s[1].strip(), data if data is not None else b"")
         else:
             out[int(m[1])] = (m[3].strip(), None)
+    for head, data in list(out.values()):
+        if data and value(head, "Type") == b"/ObjStm":
+            n, first = (int((numbers(value(head, k)) or [0])[0]) for k in ("N", "First"))
+            table = [int(x) for x in numbers(data[:first])][: 2 * n]
+            ends = [*table[3::2], len(data) - first]
+            for number, start, end in zip(table[::2], table[1::2], ends, strict=False):
+                out.setdefault(number, (data[first + start : first + end].strip(), None))
     return out
 
 
+def losses(raw: bytes) -> str | None:
+    """Why a file's objects can't all be read as its author wrote them: the first of the table's objects that is missing, a stream without a length or with a wrong one."""
+    found = objects(raw)
+    for start, lines in re.findall(rb"(\d+)\s+\d+\s*\r?\n((?:\d{10} \d{5} [nf]\s*)+)", raw):
+        for i, line in enumerate(re.findall(rb"\d{10} \d{5} ([nf])", lines)):
+            if line == b"n" and int(start) + i not in found:
+                return f"object {int(start) + i} is missing"
+    for m in OBJECT.finditer(raw):
+        s = STREAM.search(m[3])
+        if s:
+            length = value(s[1], "Length")
+            if length is None:
+                return f"stream {int(m[1])} has no length"
+            size = references(length)
+            size = numbers(found.get(size[0], (b"", None))[0]) if size else numbers(length)
+            if not size or int(size[0]) != len(s[2]):
+                return f"stream {int(m[1])} has a wrong length"
+    return None
+
+
 def value(head: bytes, name: str) -> bytes | None:
     """The raw value of a key: an array, a reference, a dictionary or a plain word."""
     m = re.search(rb"/" + name.encode() + rb"(?![A-Za-z0-9])\s*(\[[^\]]*\]|\d+\s+\d+\s+R|<<.*?>>|/?[^\s/<>\[\]]+)", head, re.S)
@@ -85,7 +118,8 @@ def page_rows(raw: bytes) -> tuple[str, list[dict]]:
         elif value(head, "Type") == b"/Page":
             box = numbers(own.get("CropBox") or own.get("MediaBox")) or [0.0, 0.0, 612.0, 792.0]
             parts = [found.get(n, (b"", b""))[1] or b"" for n in references(value(head, "Contents"))]
-            pages.append({"page_no": len(pages) + 1, "width": box[2] - box[0], "height": box[3] - box[1], "rotate": int((numbers(own.get("Rotate")) or [0])[0]) % 360, "content": b"\n".join(parts)})
+            turned = int((numbers(own.get("Rotate")) or [0])[0]) % 360
+            pages.append({"page_no": len(pages) + 1, "width": box[2] - box[0], "height": box[3] - box[1], "rotate": turned, "content": b"\n".join(parts), "fonts": json.dumps(page_fonts(found, own.get("Resources", b"")))})
     return ("readable", pages) if pages else ("damaged", [])
 
 
@@ -93,61 +127,168 @@ TOKEN = re.compile(rb"\((?:\\.|[^()\\])*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def string(token: bytes) -> str:
+def raw_string(token: bytes) -> bytes:
+    """The bytes of a string in hex or in parentheses."""
     if token[:1] == b"<":
-        return bytes.fromhex(token[1:-1].decode()).decode("latin-1")
-    plain = re.sub(rb"\\([0-7]{1,3})", lambda m: bytes([int(m[1], 8) & 255]), token[1:-1])
-    return re.sub(rb"\\(.)", lambda m: ESCAPES.get(m[1], m[1]), plain, flags=re.S).decode("cp1252", "replace")
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return re.sub(rb"\\(\r\n|[0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() and m[1][:1] in b"01234567" else ESCAPES.get(m[1], b"" if m[1] in (b"\r\n", b"\n", b"\r") else m[1]), token[1:-1], flags=re.S)
+
+
+def resolved(found: dict, raw: bytes | None) -> bytes:
+    """A value, or what it refers to."""
+    if raw and re.fullmatch(rb"\d+\s+\d+\s+R", raw.strip()):
+        return found.get(references(raw)[0], (b"", None))[0]
+    return raw or b""
+
+
+def dictionary(found: dict, head: bytes, name: str) -> bytes:
+    """The text of a dictionary under a key, whether it stands there or is referred to; brackets are counted."""
+    m = re.search(rb"/" + name.encode() + rb"(?![A-Za-z0-9])\s*(<<|\d+\s+\d+\s+R)", head)
+    if not m:
+        return b""
+    if m[1] != b"<<":
+        return resolved(found, m[1])
+    depth = 0
+    for mark in re.finditer(rb"<<|>>", head[m.start(1) :]):
+        depth += 1 if mark[0] == b"<<" else -1
+        if not depth:
+            return head[m.start(1) : m.start(1) + mark.end()]
+    return head[m.start(1) :]
+
+
+def page_fonts(found: dict, resources: bytes) -> dict[str, dict]:
+    """What text needs to know of each font of a page: bytes of a code, widths in thousandths by code, the width of others, characters by code."""
+    out = {}
+    for name, number in re.findall(rb"/([^\s/<>\[\]]+)\s+(\d+)\s+\d+\s+R", dictionary(found, resolved(found, resources), "Font")):
+        head = found.get(int(number), (b"", None))[0]
+        two = value(head, "Subtype") == b"/Type0"
+        known: dict[int, float] = {}
+        default = 1000.0 if two else 500.0
+        if two:
+            below = found.get((references(value(head, "DescendantFonts")) or [-1])[0], (b"", None))[0]
+            default = (numbers(value(below, "DW")) or [1000.0])[0]
+            held = re.search(rb"/W\s*\[(.*)\]", below, re.S)
+            whole = lambda x: int(x) if x == int(x) else x
+            parts = re.findall(rb"\[[^\]]*\]|[-+]?\d*\.?\d+", held[1]) if held else []
+            known = widths([numbers(e) if e[:1] == b"[" else whole(float(e)) for e in parts])
+        else:
+            first = int((numbers(value(head, "FirstChar")) or [0])[0])
+            known = {first + i: w for i, w in enumerate(numbers(resolved(found, value(head, "Widths"))))}
+            if value(head, "BaseFont") and b"Courier" in value(head, "BaseFont"):
+                default = 600.0
+        cmap = found.get((references(value(head, "ToUnicode")) or [-1])[0], (b"", None))[1]
+        text = {code: t for (_, code), t in to_unicode(cmap.decode("latin-1")).items()} if cmap else {}
+        out[name.decode("latin-1")] = {"two": two, "widths": known, "default": default, "text": text}
+    return out
 
 
-def glyphs(content: bytes, width: float = 0.5) -> list[dict]:
-    """Characters drawn on a page with their boxes in points; advances are ``width`` of the size, as no font programs are read."""
-    out, stack, x, y, size, leading, line = [], [], 0.0, 0.0, 1.0, 0.0, (0.0, 0.0)
+Matrix = tuple[float, float, float, float, float, float]
 
-    def show(text: str) -> None:
-        nonlocal x
-        for c in text:
-            out.append({"text": c, "l": x, "b": y, "r": x + width * size, "t": y + size, "size": size})
-            x += width * size
 
-    for token in TOKEN.findall(content):
-        if token[:1] in b"(<[]/" or re.fullmatch(rb"[-+]?\d*\.?\d+", token):
-            stack.append(token)
-            continue
-        op, operands, stack = token, stack, []
-        nums = [float(t) for t in operands if re.fullmatch(rb"[-+]?\d*\.?\d+", t)]
+def times(a: Matrix, b: Matrix) -> Matrix:
+    return (
+        a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3],
+        a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5],
+    )
+
+
+ONE: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+
+class Pen:
+    """Where text is drawn: the page's matrix with its stack, the line's and the text's matrix, the font and its spacing."""
+
+    def __init__(self, fonts: dict[str, dict]) -> None:
+        self.fonts, self.font = fonts, {}
+        self.page, self.stack, self.line, self.at = ONE, [], ONE, ONE
+        self.size, self.leading, self.between, self.words, self.wide, self.rise, self.mode = 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0
+        self.out: list[dict] = []
+
+    def move(self, x: float, y: float) -> None:
+        self.line = self.at = times((1, 0, 0, 1, x, y), self.line)
+
+    def codes(self, raw: bytes):
+        if self.font.get("two"):
+            for i in range(0, len(raw) - 1, 2):
+                code = raw[i] << 8 | raw[i + 1]
+                yield code, self.font["text"].get(str(code), self.font["text"].get(code, "\ufffd")), False
+        else:
+            known = self.font.get("text", {})
+            for code, plain in zip(raw, raw.decode("cp1252", "replace"), strict=True):
+                yield code, known.get(str(code), known.get(code, plain)), code == 32
+
+    def show(self, raw: bytes) -> None:
+        known, default = self.font.get("widths", {}), self.font.get("default", 500.0)
+        for code, text, blank in self.codes(raw):
+            width = known.get(str(code), known.get(code, default)) / 1000
+            m = times(times((self.size * self.wide, 0, 0, self.size, 0, self.rise), self.at), self.page)
+            xs, ys = (m[4], m[4] + width * m[0], m[4] + m[2], m[4] + width * m[0] + m[2]), (m[5], m[5] + width * m[1], m[5] + m[3], m[5] + width * m[1] + m[3])
+            self.out.append({"text": text, "l": min(xs), "b": min(ys), "r": max(xs), "t": max(ys), "size": (m[2] ** 2 + m[3] ** 2) ** 0.5, "invisible": self.mode == 3})
+            self.at = times((1, 0, 0, 1, (width * self.size + self.between + (self.words if blank else 0.0)) * self.wide, 0), self.at)
+
+    def back(self, thousandths: float) -> None:
+        self.at = times((1, 0, 0, 1, -thousandths / 1000 * self.size * self.wide, 0), self.at)
+
+    def run(self, op: bytes, operands: list[bytes], nums: list[float]) -> None:
         if op == b"BT":
-            x, y, line = 0.0, 0.0, (0.0, 0.0)
+            self.line = self.at = ONE
+        elif op == b"q":
+            self.stack.append((self.page, self.font, self.size, self.leading, self.between, self.words, self.wide, self.rise, self.mode))
+        elif op == b"Q" and self.stack:
+            self.page, self.font, self.size, self.leading, self.between, self.words, self.wide, self.rise, self.mode = self.stack.pop()
+        elif op == b"cm" and len(nums) == 6:
+            self.page = times(tuple(nums), self.page)
         elif op == b"Tf" and nums:
-            size = nums[-1]
+            self.size = nums[-1]
+            self.font = self.fonts.get(operands[0][1:].decode("latin-1"), {}) if operands[0][:1] == b"/" else {}
         elif op in (b"Td", b"TD") and len(nums) == 2:
-            line = (line[0] + nums[0], line[1] + nums[1])
-            x, y = line
-            leading = -nums[1] if op == b"TD" else leading
+            self.leading = -nums[1] if op == b"TD" else self.leading
+            self.move(*nums)
         elif op == b"Tm" and len(nums) == 6:
-            line = (nums[4], nums[5])
-            x, y = line
-        elif op == b"TL" and nums:
-            leading = nums[-1]
-        elif op in (b"T*", b"'"):
-            line = (line[0], line[1] - leading)
-            x, y = line
-            if op == b"'" and operands:
-                show(string(operands[-1]))
+            self.line = self.at = tuple(nums)
+        elif op == b"T*":
+            self.move(0, -self.leading)
+        elif op in (b"'", b'"') and operands:
+            if op == b'"' and len(nums) > 1:
+                self.words, self.between = nums[:2]
+            self.move(0, -self.leading)
+            self.show(raw_string(operands[-1]))
         elif op == b"Tj" and operands:
-            show(string(operands[-1]))
+            self.show(raw_string(operands[-1]))
         elif op == b"TJ":
             for t in operands:
                 if t[:1] in b"(<":
-                    show(string(t))
+                    self.show(raw_string(t))
                 elif t not in (b"[", b"]"):
-                    x -= float(t) / 1000 * size
-    return out
+                    self.back(float(t))
+        elif len(nums) == 1 and op in SETTINGS:
+            setattr(self, SETTINGS[op], nums[0] / 100 if op == b"Tz" else int(nums[0]) if op == b"Tr" else nums[0])
+
 
+SETTINGS = {b"TL": "leading", b"Tc": "between", b"Tw": "words", b"Tz": "wide", b"Ts": "rise", b"Tr": "mode"}
+NUMBER = re.compile(rb"[-+]?\d*\.?\d+")
 
-def write(pages: list[dict]) -> bytes:
-    """A file of ``pages`` (width, height, rotate, content), with content in Flate streams and equal streams stored once."""
-    bodies: list[bytes] = [b"", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+
+def glyphs(content: bytes, fonts: dict[str, dict] | None = None) -> list[dict]:
+    """Characters drawn on a page with the boxes of their advances in points, in order."""
+    pen, operands = Pen(fonts or {}), []
+    for token in TOKEN.findall(content):
+        if token[:1] in b"(<[]/" or NUMBER.fullmatch(token):
+            operands.append(token)
+        else:
+            pen.run(token, operands, [float(t) for t in operands if NUMBER.fullmatch(t)])
+            operands = []
+    return pen.out
+
+
+#: The font that ``text_content`` draws with: every character is as wide as any other.
+FONT = b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"
+
+
+def write(pages: list[dict], packed_objects: bool = False) -> bytes:
+    """A file of ``pages`` (width, height, rotate, content), with content in Flate streams and equal streams stored once; on demand, objects packed in a stream."""
+    bodies: list[bytes] = [b"", b"", FONT]
     stored: dict[bytes, int] = {}
     kids = []
     for p in pages:
@@ -160,6 +301,21 @@ def write(pages: list[dict]) -> bytes:
     bodies[0] = b"<< /Type /Catalog /Pages 2 0 R >>"
     bodies[1] = b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids))
     out, places = b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n", []
+    if packed_objects:
+        plain = [(i, b) for i, b in enumerate(bodies, 1) if b"\nstream\n" not in b]
+        starts, at = [], 0
+        for i, b in plain:
+            starts.append(b"%d %d" % (i, at))
+            at += len(b) + 1
+        table = b" ".join(starts) + b" "
+        held = zlib.compress(table + b"\n".join(b for _, b in plain), 9)
+        n = len(bodies) + 1
+        rows = [(i, b) for i, b in enumerate(bodies, 1) if b"\nstream\n" in b]
+        rows.append((n, b"<< /Type /ObjStm /N %d /First %d /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(plain), len(table), len(held), held)))
+        for i, body in rows:
+            out += b"%d 0 obj\n%s\nendobj\n" % (i, body)
+        index = zlib.compress(b"")
+        return out + b"%d 0 obj\n<< /Type /XRef /Size %d /Root 1 0 R /W [1 4 2] /Index [0 0] /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % (n + 1, n + 2, len(index), index, len(out))
     for i, body in enumerate(bodies, 1):
         places.append(len(out))
         out += b"%d 0 obj\n%s\nendobj\n" % (i, body)
@@ -183,18 +339,18 @@ def drawn(text: pd.Series) -> pd.Series:
 
 
 def read_pages(files: DataFrame) -> DataFrame:
-    """``path, status, page_no, width, height, rotate, content`` for ``files`` (path, content) as ``binaryFile`` gives them; an unreadable file has one row without a page."""
+    """``path, status, page_no, width, height, rotate, content, fonts`` for ``files`` (path, content) as ``binaryFile`` gives them; an unreadable file has one row without a page."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for path, raw in zip(part["path"], part["content"], strict=True):
                 status, pages = page_rows(bytes(raw) if raw is not None else b"")
-                rows += [(path, status, p["page_no"], p["width"], p["height"], p["rotate"], p["content"]) for p in pages] or [(path, status, None, None, None, None, None)]
-            out = pd.DataFrame(rows, columns=["path", "status", "page_no", "width", "height", "rotate", "content"])
+                rows += [(path, status, p["page_no"], p["width"], p["height"], p["rotate"], p["content"], p["fonts"]) for p in pages] or [(path, status, None, None, None, None, None, None)]
+            out = pd.DataFrame(rows, columns=["path", "status", "page_no", "width", "height", "rotate", "content", "fonts"])
             yield out.astype({"page_no": "Int32", "rotate": "Int32", "width": "Float64", "height": "Float64"})
 
-    return files.select("path", "content").mapInPandas(run, "path string, status string, page_no int, width double, height double, rotate int, content binary")
+    return files.select("path", "content").mapInPandas(run, "path string, status string, page_no int, width double, height double, rotate int, content binary, fonts string")
 
 
 def read_glyphs(pages: DataFrame) -> DataFrame:
@@ -203,12 +359,12 @@ def read_glyphs(pages: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for path, no, w, h, raw in zip(part["path"], part["page_no"], part["width"], part["height"], part["content"], strict=True):
-                for i, g in enumerate(glyphs(bytes(raw))):
+            for path, no, w, h, raw, fonts in zip(part["path"], part["page_no"], part["width"], part["height"], part["content"], part["fonts"], strict=True):
+                for i, g in enumerate(glyphs(bytes(raw), json.loads(fonts or "{}"))):
                     rows.append((path, int(no), i, g["text"], g["l"] / w, 1 - g["t"] / h, g["r"] / w, 1 - g["b"] / h, g["size"]))
             yield pd.DataFrame(rows, columns=["source", "page_no", "glyph_no", "text", "l", "t", "r", "b", "size"])
 
-    some = pages.where("page_no is not null").select("path", "page_no", "width", "height", "content")
+    some = pages.where("page_no is not null").select("path", "page_no", "width", "height", "content", "fonts")
     return some.mapInPandas(run, "source string, page_no int, glyph_no int, text string, l double, t double, r double, b double, size double")
 
 
@@ -217,18 +373,18 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part["text"] = ["".join(g["text"] for g in glyphs(bytes(raw))) for raw in part["content"]]
+            part["text"] = ["".join(g["text"] for g in glyphs(bytes(raw), json.loads(f or "{}"))) for raw, f in zip(part["content"], part["fonts"], strict=True)]
             yield part[["path", "page_no", "text"]]
 
-    return pages.where("page_no is not null").select("path", "page_no", "content").mapInPandas(run, "path string, page_no int, text string")
+    return pages.where("page_no is not null").select("path", "page_no", "content", "fonts").mapInPandas(run, "path string, page_no int, text string")
 
 
-def write_files(pages: DataFrame) -> DataFrame:
+def write_files(pages: DataFrame, packed_objects: bool = False) -> DataFrame:
     """``out, file``: pages (out, pos, width, height, rotate, content) put together into files by ``out``, in the order of ``pos``."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("pos").to_dict("records")
-        return pd.DataFrame({"out": [key[0]], "file": [write([r | {"content": bytes(r["content"])} for r in rows])]})
+        return pd.DataFrame({"out": [key[0]], "file": [write([r | {"content": bytes(r["content"])} for r in rows], packed_objects)]})
 
     kind = pages.schema["out"].dataType.simpleString()
     return pages.groupBy("out").applyInPandas(run, f"out {kind}, file binary")
@@ -238,3 +394,9 @@ def conditions(pages: DataFrame) -> DataFrame:
     """``path, condition``: number of pages, -1 for a locked file, 0 for a damaged one."""
     count = F.count("page_no")
     return pages.groupBy("path").agg(F.when(F.max("status") == "locked", -1).otherwise(count).cast("int").alias("condition"))
+
+
+@F.pandas_udf(StringType())
+def load_losses(raw: pd.Series) -> pd.Series:
+    """Why a file's objects can't all be read; null where they can."""
+    return raw.map(lambda r: None if r is None else losses(bytes(r)))
