@@ -155,24 +155,47 @@ def cut_contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_of(out, CONTEXT_SCHEMA)
 
 
+class RangeMinimum:
+    """Least values of ranges, from tables of ranges of doubling width."""
+
+    def __init__(self, values: np.ndarray, longest: int | None = None) -> None:
+        """Ranges up to the length of ``values``, or about ``longest``."""
+        self.tables = [values]
+        while 2 << len(self.tables) - 1 <= min(len(values), len(values) if longest is None else longest):
+            last, width = self.tables[-1], 1 << len(self.tables) - 1
+            self.tables.append(np.minimum(last[:-width], last[width:]))
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Least value from ``low`` to ``high``, inclusive."""
+        step = np.frexp((high - low + 1).astype(float))[1] - 1
+        out = np.empty(len(low), self.tables[0].dtype)
+        for k in np.unique(step).tolist():
+            at = step == k
+            out[at] = np.minimum(self.tables[k][low[at]], self.tables[k][high[at] - (1 << k) + 1])
+        return out
+
+
 def nearest_smaller(position: np.ndarray, lcp: np.ndarray, enough: int = 0) -> np.ndarray:
     """For each place in a suffix order the common prefix with the nearest place before it that has a smaller text position, 0 without any.
 
-    ``lcp`` is the common prefix with the place before. Found by pointer jumps that carry the least prefix on
-    the way; what falls under ``enough`` is not followed further, and stays some value under it.
+    ``lcp`` is the common prefix with the place before. Each place passes over stretches of halving length
+    that hold no smaller position, and keeps the least prefix on its way. Prefixes under ``enough`` may come out as other
+    values under it: no stretch is longer than the longest in which all prefixes reach it.
     """
-    before, low = np.arange(len(position)) - 1, lcp.copy()
-    if len(low):
-        low[0] = 0
-    moving = np.flatnonzero((before >= 0) & (low >= enough))
-    while True:
-        moving = moving[(before[moving] >= 0) & (low[moving] >= enough)]
-        moving = moving[position[before[moving]] >= position[moving]]
-        if not len(moving):
-            return np.where(before >= 0, low, 0)
-        via = before[moving]
-        low[moving] = np.minimum(low[moving], np.where(before[via] >= 0, low[via], 0))
-        before[moving] = before[via]
+    n = len(position)
+    if not n:
+        return lcp
+    breaks = np.flatnonzero(np.append(lcp < enough, True)) if enough else np.array([n])
+    longest = int(np.diff(breaks, prepend=0).max())
+    positions, prefixes = RangeMinimum(position, longest), RangeMinimum(lcp, longest)
+    at, low = np.arange(n), lcp.copy()
+    for k in range(len(positions.tables) - 1, -1, -1):
+        to = at - (1 << k)
+        may = np.flatnonzero(to >= 0)
+        may = may[positions.tables[k][to[may]] >= position[may]]
+        low[may] = np.minimum(low[may], prefixes.tables[k][to[may]])
+        at[may] = to[may]
+    return np.where((at > 0) & (position[np.maximum(at - 1, 0)] < position), low, 0)
 
 
 def longest_factors(position: np.ndarray, lcp: np.ndarray, enough: int = 0) -> np.ndarray:
@@ -198,25 +221,6 @@ def sorted_strings(strings: np.ndarray, size: np.ndarray, group: np.ndarray) ->
     return order, lcp
 
 
-class RangeMinimum:
-    """Least values of ranges, from tables of ranges of doubling width."""
-
-    def __init__(self, values: np.ndarray) -> None:
-        self.tables = [values]
-        while 2 << len(self.tables) - 1 <= len(values):
-            last, width = self.tables[-1], 1 << len(self.tables) - 1
-            self.tables.append(np.minimum(last[:-width], last[width:]))
-
-    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Least value from ``low`` to ``high``, inclusive."""
-        step = np.frexp((high - low + 1).astype(float))[1] - 1
-        out = np.empty(len(low), self.tables[0].dtype)
-        for k in np.unique(step).tolist():
-            at = step == k
-            out[at] = np.minimum(self.tables[k][low[at]], self.tables[k][high[at] - (1 << k) + 1])
-        return out
-
-
 def factors(group: np.ndarray, left: np.ndarray, buffer: np.ndarray, anchor: np.ndarray, size: np.ndarray, first: bool = False) -> np.ndarray:
     """Which strings of LENGTH bytes around anchors occur again within their group: a row for an anchor, a column for its distance to the string's start.
 
@@ -257,12 +261,18 @@ def factors(group: np.ndarray, left: np.ndarray, buffer: np.ndarray, anchor: np.
         own = left_order[active[left_order]]
         classes = np.zeros(n, np.int64)
         classes[own] = np.cumsum(left_lcp[active[left_order]] < low[own])
+        ends = np.empty(n, np.int64)
+        ends[order] = np.cumsum(lcp < LENGTH - low[order])
         rows = np.flatnonzero(active & (left >= low) & (right >= LENGTH - low))
         suffixes = rows[np.argsort(classes[rows] * n + rank[rows])]
-        if len(suffixes) < 2:
+        # Only neighbours that share LENGTH bytes can lie on the way to a factor of that length.
+        near = (classes[suffixes[1:]] == classes[suffixes[:-1]]) & (ends[suffixes[1:]] == ends[suffixes[:-1]])
+        kept = np.append(near, False) | np.append(False, near) if len(suffixes) else near
+        pair = np.flatnonzero(np.append(False, near)[kept]) if len(suffixes) else np.empty(0, np.int64)
+        suffixes = suffixes[kept]
+        if not len(suffixes):
             continue
         common = np.zeros(len(suffixes), np.int64)
-        pair = np.flatnonzero(classes[suffixes[1:]] == classes[suffixes[:-1]]) + 1
         common[pair] = low[suffixes[pair]] + least.least(rank[suffixes[pair - 1]] + 1, rank[suffixes[pair]])
         again = longest_factors(suffixes, common, LENGTH) >= LENGTH
         if not first:
