@@ -159,8 +159,9 @@ def licenses(docs: DataFrame, templates=TEMPLATES, least: float = COVERAGE) -> D
     """``doc_id, license, form, coverage, first_word, end_word``: a row for each row of ``docs`` and each template found in it.
 
     Coverage is the part of the template's words that patience alignment finds in the best place that no better template has. Texts are read
-    whole; null and empty texts have no license; repeated rows give the same rows each. Templates are few and travel
-    with the function; no row moves between tasks.
+    whole; null and empty texts have no license; repeated rows give the same rows each, rows that share a doc_id stay apart, and an
+    empty table gives an empty result. Of places that are equally well covered the longer template's counts, then the first template's and
+    the first place. Other columns aren't read. Templates are few and travel with the function; no row moves between tasks.
     """
     batches(docs.sparkSession)
     templates = tuple(templates)

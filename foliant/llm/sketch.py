@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,15 @@ from foliant.llm.common import batches, rows_of
 
 #: A sketch holds the K smallest of a text's distinct shingle hashes, of 48 bits each; twelve hex digits a hash.
 K, SHINGLE, DIGITS = 128, 5, 12
+#: Words of a part of a long text.
+PART = 1 << 16
 SPACE = 1 << (4 * DIGITS)
+#: Where rows without an id stand: after all others.
+LEAST = -(1 << 63)
 
 
-def hashes(text: bytes) -> np.ndarray:
+def hashes(words: list[bytes]) -> np.ndarray:
     """A hash for each shingle of five words, repeats included; fewer words make one shingle, none make none."""
-    words = text.split()
     if not words:
         return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
@@ -35,15 +39,20 @@ def hashes(text: bytes) -> np.ndarray:
     return mixed >> np.uint64(64 - 4 * DIGITS)
 
 
-def sketch(text: bytes, k: int = K) -> np.ndarray:
-    return np.unique(hashes(text))[:k]
-
-
 def merge(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
     """The sketch of two parts together, for parts that are cut between shingles."""
     return np.union1d(a, b)[:k]
 
 
+def sketch(text: bytes, k: int = K, part: int = PART) -> np.ndarray:
+    """A text's sketch; that of a long one is merged from those of its parts, which overlap by a shingle less a word."""
+    words = text.split()
+    out = np.unique(hashes(words[: part + SHINGLE - 1]))[:k]
+    for at in range(part, len(words) - SHINGLE + 1, part):
+        out = merge(out, np.unique(hashes(words[at : at + part + SHINGLE - 1]))[:k], k)
+    return out
+
+
 def resemblance(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     """Estimated Jaccard likeness: the share of the K smallest hashes of both that each of them has. Two empty texts: 1."""
     both = np.sort(np.concatenate([a, b]))
@@ -127,16 +136,16 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
     The next row is the one after it by descending doc_id (ties by a hash of the text, null ids last), and the
     first for the last; an only row follows itself. Null texts count as empty. Rows are dealt to parts
-    by ranges of doc_id, in proportion to their number, and the first row of each part is also sent to the part
-    before it: texts move once, and each task reads its rows in order, one after another.
+    by ranges of doc_id and that hash, in proportion to their number, and the first row of each part is also sent to the part
+    before it: texts move once, and each task reads its rows in order, one after another. Other columns aren't read.
     """
     spark = docs.sparkSession
     batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(1, rows.rdd.getNumPartitions())
-    bounds = sorted({int(b) for b in rows.select("doc_id").dropna().approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)} if parts > 1 else set(), reverse=True)
-    place = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    rows = rows.withColumns({"place": place, "part": part_of(place, bounds), "tie": F.xxhash64("text")})
+    place, tie = F.coalesce("doc_id", F.lit(LEAST)), F.xxhash64("text")
+    rows = rows.withColumns({"place": place, "tie": tie})
+    rows = rows.withColumn("part", part_of(F.struct("place", "tie"), cuts(rows, parts)))
     heads = rows.groupBy("part").agg(F.max(F.struct("place", "tie")).alias("head")).orderBy("part").collect()  # one row a part
     if not heads:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, held_by_next double")
@@ -152,16 +161,26 @@ def with_edits(docs: DataFrame) -> DataFrame:
     return dealt.select("part", "role", "doc_id", "text").mapInArrow(compare_runs, schema)
 
 
-def part_of(place: Column, bounds: list[int]) -> Column:
-    """Number of ``bounds`` (descending) above ``place``, by halving."""
+def cuts(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """(place, tie) at which rows, in descending order, are cut into about ``parts`` parts of equal numbers of rows.
+
+    A place that several cuts fall on, one id with very many rows (or none), is cut by the hash of the text too.
+    """
+    if parts < 2:
+        return []
+    found = Counter(int(b) for b in rows.approxQuantile("place", [i / parts for i in range(1, parts)], 0.25 / parts))
+    return sorted(((b, LEAST + (1 << 64) * j // n) for b, n in found.items() for j in range(n)), reverse=True)
+
+
+def part_of(place: Column, bounds: list[tuple[int, int]]) -> Column:
+    """Number of ``bounds`` (descending) above ``place``, a struct of place and tie, by halving."""
     if not bounds:
         return F.lit(0)
     steps, size = [], 1
     while size <= len(bounds):
         steps.append(size)
         size *= 2
-    held = F.lit(bounds) if len(bounds) > 1 else F.array(F.lit(bounds[0]))
-    held = held.cast("array<bigint>")
+    held = F.array(*[F.struct(F.lit(a).cast("long").alias("place"), F.lit(b).cast("long").alias("tie")) for a, b in bounds])
 
     def halve(low: Column, step: Column) -> Column:
         return low + F.when((low + step <= len(bounds)) & (F.try_element_at(held, low + step) > place), step).otherwise(0)

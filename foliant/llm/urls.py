@@ -34,14 +34,14 @@ def sweep(rules: list[tuple[str, str, str]]):
     """A function over batches sorted by key: advances through the rules' intervals, keeping those open on a stack.
 
     A rule's host opens an interval of keys that begin with its own key; intervals nest or are apart. Of the
-    rules on the stack, those whose path starts the url's path fit, and the longest of them decides.
+    rules on the stack, those whose path starts the url's path fit, and the longest of them decides. A host's paths are
+    looked up by the lengths they have, longest first.
     """
-    sides: dict[str, list[tuple[str, str, str]]] = {}
-    for host, path, verdict in rules:
-        sides.setdefault(host_key(host), []).append((path, host + path, verdict))
-    keys = sorted(sides)
-    for own in sides.values():
-        own.sort(key=lambda r: (-len(r[0]), r))
+    paths: dict[str, dict[str, tuple[str, str]]] = {}
+    for host, path, verdict in sorted(rules, reverse=True):
+        paths.setdefault(host_key(host), {})[path] = (host + path, verdict)
+    keys = sorted(paths)
+    sides = {k: (own, sorted({len(p) for p in own}, reverse=True)) for k, own in paths.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[str] = []
@@ -60,11 +60,10 @@ def sweep(rules: list[tuple[str, str, str]]):
                     at += 1
                 best = None
                 for k in stack:
-                    for p, name, verdict in sides[k]:
-                        if path.startswith(p):
-                            if best is None or (len(name), name) > (len(best[0]), best[0]):
-                                best = (name, verdict)
-                            break
+                    own, lengths = sides[k]
+                    found = next((own[path[:n]] for n in lengths if path[:n] in own), None)
+                    if found and (best is None or (len(found[0]), found[0]) > (len(best[0]), best[0])):
+                        best = found
                 got.append(best and best[0])
                 verdicts.append(best and best[1])
             kept = [batch.column(n) for n in batch.schema.names if n not in ("key", "salt")]

@@ -323,3 +323,25 @@ def test_edited_texts_of_few_rows(spark):
     got = sketch.with_edits(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(str(r.doc_id) for r in got) == ["5", "5", "5", "5", "None"]
     assert len({r.fingerprint for r in got}) == 3
+
+
+def test_sketch_of_long_texts_is_merged_from_parts():
+    rng = random.Random(14)
+    for n in (0, 1, 4, 5, 6, 63, 64, 65, 68, 69, 500):
+        text = " ".join(f"w{rng.randrange(300)}" for _ in range(n)).encode()
+        assert np.array_equal(sketch.sketch(text, 20, 64), sketch.sketch(text, 20))
+
+
+def test_one_id_with_many_rows_is_cut(spark):
+    rows = [(7, f"text {i}") for i in range(400)] + [(None, f"other {i}") for i in range(400)] + [(i, "x") for i in range(1000, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    placed = docs.select(F.coalesce("doc_id", F.lit(sketch.LEAST)).alias("place"), F.xxhash64("text").alias("tie"))
+    bounds = sketch.cuts(placed, 8)
+    counts = [r["count"] for r in placed.groupBy(sketch.part_of(F.struct("place", "tie"), bounds).alias("part")).count().collect()]
+    assert len(counts) > 5 and max(counts) < 260
+    ordered = placed.select("place", "tie", sketch.part_of(F.struct("place", "tie"), bounds).alias("part")).collect()
+    ordered.sort(key=lambda r: (r.place, r.tie), reverse=True)
+    assert [r.part for r in ordered] == sorted(r.part for r in ordered)
+    got = sketch.with_edits(docs).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert len(got) == len(rows) and {r.edited_sha256 for r in got if r.doc_id == 1000} == {hashlib.sha256(b"x").hexdigest()} and order

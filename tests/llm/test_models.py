@@ -126,9 +126,13 @@ def test_kneser_ney_is_a_distribution():
         assert sum(p) == pytest.approx(1.0), context
     again = kneser_ney.unpacked(kneser_ney.packed(model))
     assert again.words == words and (again.keys3 == model.keys3).all() and np.allclose(again.own3, model.own3)
-    texts = [" ".join(f"w{rng.randrange(15)}" for _ in range(rng.randint(0, 50))).encode() for _ in range(30)] + [b""]
-    whole, small = scorer.score(texts), scorer.score(texts, 7)
+    texts = [" ".join(f"w{rng.randrange(15)}" for _ in range(rng.randint(0, 50))) for _ in range(30)] + ["", None]
+    line = tokens.bytes_of(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))
+    whole, small = scorer.score(*line), scorer.score(*line, 7)
     assert np.allclose(whole[0], small[0]) and (whole[1] == small[1]).all()
+    for text, nats, n in zip(texts, *whole, strict=True):
+        ids = [0, 0] + [words.index(w.encode()) if w.encode() in words else 14 for w in (text or "").split()] + [1]
+        assert n == len(ids) - 2 and nats == pytest.approx(sum(scorer.tokens(np.array(ids[i : i + 3]))[0] for i in range(n)))
 
 
 def test_quality_by_brute_force(spark, monkeypatch):
@@ -300,6 +304,35 @@ def test_alignment_is_a_common_subsequence():
     assert licenses.aligned(list("abcxd"), list("abcyd")) == [(0, 0), (1, 1), (2, 2), (4, 4)]
 
 
+def test_license_coverage_by_brute_force(spark):
+    """Where a template's words stand in one passage only, its coverage is the longest common subsequence with the whole text."""
+    rng = random.Random(25)
+    templates = [(f"T{k}", "text", " ".join(f"t{k}w{i}" for i in range(n))) for k, n in enumerate((5, 12, 40, 90))]
+    other, rows, want = [f"o{i}" for i in range(300)], [], {}
+    for d in range(120):
+        name, _, text = templates[d % 4]
+        passage = [w for w in text.split() if rng.random() > d / 400]
+        for _ in range(rng.randint(0, len(passage) // 6)):
+            passage.insert(rng.randrange(len(passage) + 1), rng.choice(other))
+        if rng.random() < 0.3 and len(passage) > 4:
+            at = rng.randrange(len(passage) - 2)
+            passage[at], passage[at + 1] = passage[at + 1], passage[at]
+        words = [rng.choice(other) for _ in range(rng.randint(0, 200))]
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = passage
+        own = text.split()
+        row = [0] * (len(words) + 1)
+        for x in own:
+            before, row = row, [0] * (len(words) + 1)
+            for j, y in enumerate(words):
+                row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
+        rows.append((d, " ".join(words), None))
+        if row[-1] >= 0.8 * len(own):
+            want[d, name] = round(row[-1] / len(own), 4)
+    got = {(r.doc_id, r.license): r.coverage for r in licenses.licenses(frame(spark, rows), templates).collect()}
+    assert got == want and 30 < len(want) < 115
+
+
 def test_licenses(spark):
     mit = next(t for n, f, t in licenses.TEMPLATES if n == "MIT" and f == "text")
     words = mit.split()
@@ -403,3 +436,14 @@ def test_pipeline_runs_as_a_whole(spark, corpus):
     got = corpus_pipeline.run(spark, folder).collect()
     assert got and len({r.doc_id for r in got}) > 60
     assert not any(item in (r.text or "") for r in got)
+
+
+def test_large_benchmarks_go_in_parts(spark):
+    rng = random.Random(24)
+    items = [(i, " ".join(f"t{rng.randrange(40_000)}" for _ in range(400))) for i in range(2500)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [(i, "before " + items[i * 7][1] + " after", "en") for i in range(6)] + [(100, "nothing of all that", "en")])
+    parts = latent.prepared(docs, benchmark, 100, 16)
+    assert len(parts) >= 3 and sum(len(p[2]) for p in parts) == 2500
+    assert max(len(p[0]) * len(p[2]) for p in parts) <= 2 * latent.PART_CELLS
+    assert {(r.doc_id, r.item_id) for r in latent.leaks(docs, benchmark, 100, 16).collect()} == {(i, i * 7) for i in range(6)}
