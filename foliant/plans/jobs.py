@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from foliant.operators import compare, forms, graphs, pages, retrieval, spatial
-from foliant.sources import html, pdf
+from foliant.operators import annotations, archive, compare, forms, graphs, layout, pages, pixels, reading, retrieval, search, spatial, style, widgets, workspace
+from foliant.sources import html, markdown, pdf
 
 OPERATIONS: dict[str, Callable[..., DataFrame]] = {
     "open": pdf.read_pages,
@@ -42,9 +42,54 @@ OPERATIONS: dict[str, Callable[..., DataFrame]] = {
     "sources": retrieval.sources,
     "headings": html.headings,
     "links": html.links,
+    "assemble": workspace.assembled,
+    "assemble-pages": workspace.assembled_pages,
+    "renumber": graphs.renumber,
+    "compress": workspace.compressed,
+    "keep-smaller": workspace.smaller_files,
+    "runs": layout.runs,
+    "blocks": layout.blocks,
+    "pack-glyphs": reading.packed,
+    "searchable": reading.searchable,
+    "word-at": reading.word_at,
+    "line-boxes": reading.line_boxes,
+    "ocr-kept-words": reading.kept_words,
+    "ocr-targets": reading.unread_pages,
+    "field-of": widgets.field_of,
+    "widgets-of": widgets.widgets_of,
+    "prune-fields": widgets.pruned,
+    "set-buttons": widgets.button_states,
+    "fields-to-draw": widgets.needs_drawing,
+    "annotate-check": annotations.problem,
+    "annotations-under": annotations.under,
+    "redact-annotations": annotations.remaining,
+    "flatten-marks": annotations.flatten_marks,
+    "redact-marks": annotations.removal_marks,
+    "appearances": annotations.appearances,
+    "strip-descriptions": annotations.undescribed,
+    "ink-colors": annotations.ink_and_paper,
+    "pdfa-refusals": archive.refusals,
+    "pdfa-entries": workspace.cleaned_entries,
+    "pdfa-annotations": archive.clean_annotations,
+    "pdfa-layers": archive.unique_names,
+    "pdfa-intent": archive.output_intent,
+    "scan-edges": pixels.edges,
+    "scan-votes": pixels.votes,
+    "image-spans": pixels.covered_spans,
+    "image-redact": pixels.redacted,
+    "print-clips": style.clips,
+    "print-borders": style.borders,
+    "print-fonts": style.used_fonts,
+    "translate": workspace.pivoted,
+    "translate-sizes": workspace.even_sizes,
+    "summary-notes": workspace.summary_notes,
+    "summary-markdown": markdown.summary,
+    "markdown": markdown.document,
+    "zip": markdown.zipped,
+    "search-tools": search.search,
 }
 #: What needs a renderer, a browser, a speech or language model, or a library that isn't here.
-OUTSIDE = frozenset(["ocr-render", "rasterize", "html-layout", "office", "translate", "generate", "protect", "unlock", "pdfa", "compress-images", "scan-photo"])
+OUTSIDE = frozenset(["ocr-render", "rasterize", "html-layout", "office", "generate", "protect", "unlock", "compress-images", "scan-photo"])
 
 
 def run(operation: str, *tables: DataFrame, **options) -> DataFrame:
