@@ -133,12 +133,15 @@ class Scanner:
             if len(hits) < self.need[t]:
                 continue
             n = len(own)
-            # Windows of twice the template, one template apart, hold any place of the template's length.
-            for start in sorted({s for h in np.unique(hits // n).tolist() for s in (max(0, h - 1), h)}):
-                a, b = start * n, start * n + 2 * n
-                if np.searchsorted(hits, b) - np.searchsorted(hits, a) < self.need[t]:
-                    continue
-                place(t, a, min(b, len(words)))
+            # Windows of twice the template, one template apart, hold any place of the template's length; those of three
+            # times hold any that other words have made twice as long. In the short ones fewer words stand twice.
+            for start in sorted({max(0, h - back) for h in np.unique(hits // n).tolist() for back in range(3)}):
+                a, held = start * n, 0
+                for b in (a + 2 * n, a + 3 * n):
+                    found = int(np.searchsorted(hits, b) - np.searchsorted(hits, a))
+                    if found >= self.need[t] and found > held:
+                        place(t, a, min(b, len(words)))
+                        held = found
         best: dict[int, tuple[int, float, int, int]] = {}
         taken: list[tuple[int, int]] = []  # in rising order, apart
         while waiting:
