@@ -188,7 +188,7 @@ def undescribed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("mark", F.array_join(F.array_sort(F.map_keys("entries")), ",").alias("keys"))
 
 
-@query("select doc_id as id, md5(text) as digest, case when doc_id % 3 = 0 then 'Length' else 'Length,Thumb' end as keys, length(text) >= 64 as smaller from documents where doc_id % 4 <> 1")
+@query("select doc_id as id, md5(text) as digest, case when doc_id % 3 = 0 then 'Length' else 'Length,Thumb' end as keys, true as fits from documents where doc_id % 4 <> 1")
 def compressed_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     streams = read(spark, sf_dir, "documents").select(
@@ -197,4 +197,4 @@ def compressed_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = workspace.compressed(streams, thumbnails=False)
     plain = F.when(F.length("data") < F.col("size"), codecs.inflated("data")).otherwise(F.col("data"))
-    return out.select("id", F.md5(plain).alias("digest"), F.array_join(F.array_sort(F.map_keys("entries")), ",").alias("keys"), (F.length("data") < F.col("size")).alias("smaller"))
+    return out.select("id", F.md5(plain).alias("digest"), F.array_join(F.array_sort(F.map_keys("entries")), ",").alias("keys"), (F.length("data") <= F.col("size")).alias("fits"))

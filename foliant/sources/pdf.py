@@ -35,6 +35,21 @@ def inflate(data: bytes, most: int = LARGEST) -> bytes | None:
     return out if out and not engine.unconsumed_tail else None
 
 
+def stream_parts(body: bytes) -> tuple[bytes, bytes, bool] | None:
+    """Dictionary text and raw bytes of an object's stream, and whether its length told where they end; None for an object without a stream."""
+    opens = re.search(rb"\bstream\r?\n", body)
+    if not opens:
+        return None
+    head, start = body[: opens.start()], opens.end()
+    length = value(head, "Length")
+    if length and not references(length):
+        end = start + int((numbers(length) or [0])[0])
+        if re.match(rb"\s*endstream", body[end : end + 16]):
+            return head, body[start:end], True
+    found = STREAM.search(body)
+    return (found[1], found[2], False) if found else None
+
+
 def objects(raw: bytes) -> dict[int, tuple[bytes, bytes | None]]:
     """Dictionary text and stream bytes (decoded where Flate) by object number; a later object with a number replaces an earlier one.
 
@@ -42,12 +57,12 @@ def objects(raw: bytes) -> dict[int, tuple[bytes, bytes | None]]:
     """
     out = {}
     for m in OBJECT.finditer(raw):
-        s = STREAM.search(m[3])
-        if s:
-            data = s[2]
-            if b"/FlateDecode" in s[1]:
+        parts = stream_parts(m[3])
+        if parts:
+            head, data, _ = parts
+            if b"/FlateDecode" in head:
                 data = inflate(data)
-            out[int(m[1])] = (s[1].strip(), data if data is not None else b"")
+            out[int(m[1])] = (head.strip(), data if data is not None else b"")
         else:
             out[int(m[1])] = (m[3].strip(), None)
     for head, data in list(out.values()):
@@ -68,14 +83,14 @@ def losses(raw: bytes) -> str | None:
             if line == b"n" and int(start) + i not in found:
                 return f"object {int(start) + i} is missing"
     for m in OBJECT.finditer(raw):
-        s = STREAM.search(m[3])
-        if s:
-            length = value(s[1], "Length")
+        parts = stream_parts(m[3])
+        if parts:
+            head, data, exact = parts
+            length = value(head, "Length")
             if length is None:
                 return f"stream {int(m[1])} has no length"
-            size = references(length)
-            size = numbers(found.get(size[0], (b"", None))[0]) if size else numbers(length)
-            if not size or int(size[0]) != len(s[2]):
+            below = references(length)
+            if not exact and not (below and numbers(found.get(below[0], (b"", None))[0])[:1] == [len(data)]):
                 return f"stream {int(m[1])} has a wrong length"
     return None
 

@@ -5,7 +5,6 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,8 +31,9 @@ def test_blocks(spark):
 
 
 def test_runs_break_at_gaps_and_drop_overprints():
-    row = pd.DataFrame([{"glyph_no": i, "text": c, "l": x, "r": x + 5, "baseline": 10, "b": 0, "size": 10, "bold": False, "width": 1, "height": 1} for i, (c, x) in enumerate((("a", 0), ("a", 1), ("b", 7), ("c", 40), (" ", 45)))])
-    assert layout.page_runs(row)[["text", "bold"]].values.tolist() == [["ab", True], ["c", False]]
+    text, left = np.array(["a", "a", "b", "c", " "], object), np.array([0.0, 1, 7, 40, 45])
+    found = layout.page_runs(text, left, left + 5, np.full(5, 10.0), np.full(5, 10.0), np.zeros(5, bool))
+    assert [r[4:] for r in found] == [("ab", True), ("c", False)]
     assert layout.flowed(["hy-", "phen", "東", "京"]) == "hyphen 東京" and layout.flowed(["A-", "B", "x-", "Y", "", "z-", "9"]) == "A- B x- Y z- 9"
     assert layout.wrapped("aaa bb ccccccc d", 5, len) == ["aaa", "bb", "ccccc", "cc d"]
     assert layout.weightiest(np.array(["a", "b", "a"]), np.array([1, 2, 1])) == "b"
