@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -73,6 +75,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives the memory that a finished task held back to the system: Python workers outlive their tasks, and wait beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Bounds the rows and the bytes that go to a Python worker at once, so that long texts don't pile up there."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts are read together up to so many bytes; a longer text goes by pieces that end at white space.
 PIECE = 1 << 18
@@ -42,9 +43,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def bytes_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a text column and the offsets of its texts; a null text is empty."""
-    column = batch.column(name).fill_null("").cast(pa.large_binary())
+def bytes_of(batch: pa.RecordBatch, name: str = "text", row: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a text column (or of that field of a column of rows) and the offsets of its texts; a null text is empty."""
+    column = pc.struct_field(batch.column(row), name) if row else batch.column(name)
+    column = column.fill_null("").cast(pa.large_binary())
     if not len(column):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
