@@ -159,14 +159,14 @@ def variant_links(long: DataFrame) -> DataFrame:
     rows = long.withColumn("quad", F.shiftrightunsigned("key", 32).cast("int")).join(F.broadcast(masks), "quad")
     rows = rows.select("key", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp", "r")
     hubs = rows.groupBy("key", "variant").agg(F.min(F.when(F.col("r") < 2, F.col("fp"))).alias("hub"), F.count("*").alias("n"))
-    return rows.join(hubs.where("hub is not null and n > 1"), ["key", "variant"]).where("hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    return rows.join(hubs.where("hub is not null and n > 1").hint("merge"), ["key", "variant"]).where("hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def links(fps: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """``a, b``: links between distinct fingerprints that connect whatever is connected by three differing bits or fewer."""
     index = postings(fps)
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = index.join(sizes, "key")
+    shared = index.join(sizes.hint("merge"), "key")  # tables that grow with the input never go through the driver
     short = shared.where(F.col("n") <= limit).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
     return short.mapInArrow(list_links, "a long, b long").union(variant_links(shared.where(F.col("n") > limit).select("key", "fp")))
 
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     fps = durable(fingerprints(docs))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct.select("fp"), limit))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = rooted.join(smallest.hint("merge"), "root").select("fp", "component_id")
+    return fps.join(of.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -345,3 +345,12 @@ def test_one_id_with_many_rows_is_cut(spark):
     got = sketch.with_edits(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     assert len(got) == len(rows) and {r.edited_sha256 for r in got if r.doc_id == 1000} == {hashlib.sha256(b"x").hexdigest()} and order
+
+
+def test_simhash_joins_stay_off_the_driver(spark):
+    """Only the table of flipped bits is broadcast: tables that grow with the input would fill the driver."""
+    rows = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words and then "), F.col("id")).alias("text"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"BroadcastHashJoin \[(\w+)#", plan(simhash.links(simhash.fingerprints(rows).select("fp").distinct(), 3)))
+    assert set(joins) == {"quad"}
+    assert "BroadcastHashJoin" not in plan(simhash.near_duplicates(rows))
