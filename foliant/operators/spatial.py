@@ -20,11 +20,12 @@ def binned(df: DataFrame, prefix: str, cells: int) -> DataFrame:
 def overlaps(glyphs: DataFrame, areas: DataFrame, cells: int = CELLS) -> DataFrame:
     """Per glyph: ``overlap``, the sum over boxes; ``centred``, whether a box holds its centre; ``inside``, whether one holds it whole.
 
-    The join is by page and band; a pair that shares several bands counts in the first only.
+    The join is by page and band; a pair that shares several bands counts in the first only. It is merged: Spark takes the size of
+    exploded rows for that of the rows they come from, and would broadcast any number of glyphs.
     """
     a = areas.select(*PLACE, F.col("l").alias("al"), F.col("t").alias("at"), F.col("r").alias("ar"), F.col("b").alias("ab"))
     first = F.greatest(F.least(F.greatest(F.floor(F.col("t") * cells), F.lit(0)), F.lit(cells - 1)), F.least(F.greatest(F.floor(F.col("at") * cells), F.lit(0)), F.lit(cells - 1)))
-    met = binned(glyphs, "", cells).join(binned(a, "a", cells), [*PLACE, "band"]).where(F.col("band") == first)
+    met = binned(glyphs, "", cells).join(binned(a, "a", cells).hint("merge"), [*PLACE, "band"]).where(F.col("band") == first)
     width = F.least("r", "ar") - F.greatest("l", "al")
     height = F.least("b", "ab") - F.greatest("t", "at")
     x, y = (F.col("l") + F.col("r")) / 2, (F.col("t") + F.col("b")) / 2
@@ -38,7 +39,7 @@ def overlaps(glyphs: DataFrame, areas: DataFrame, cells: int = CELLS) -> DataFra
 def with_cover(glyphs: DataFrame, areas: DataFrame, share: float = SHARE) -> DataFrame:
     """``glyphs`` with ``covered`` (boxes together reach ``share`` of it; without an area: its centre lies in one) and ``inside``."""
     size = (F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))
-    joined = glyphs.join(overlaps(glyphs, areas), [*PLACE, "glyph_no"], "left")
+    joined = glyphs.join(overlaps(glyphs, areas).hint("merge"), [*PLACE, "glyph_no"], "left")
     covered = F.when(size <= 1e-12, F.coalesce("centred", F.lit(False))).otherwise(F.coalesce(F.col("overlap"), F.lit(0.0)) >= size * share)
     return joined.withColumns({"covered": covered, "inside": F.coalesce("inside", F.lit(False))}).drop("overlap", "centred")
 

@@ -229,3 +229,14 @@ def test_html(spark):
     assert "script" not in clean.x and "<base" not in clean.x and clean.n == 1
     raw = spark.createDataFrame([('<meta charset="latin1">é'.encode("latin-1"),), ("﻿é".encode(),), ("é".encode("utf-16"),), ("é".encode(),)], "raw binary")
     assert [r.x[-1] for r in raw.select(html.decoded(F.col("raw")).alias("x")).collect()] == ["é"] * 4
+
+
+def grid(spark):
+    """Few glyphs, which Spark would broadcast: one row of a table with a row for each of them."""
+    return spark.range(3).select(F.col("id").alias("source"), F.lit(1).alias("page_no"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("glyph_no")).selectExpr("*", "'a' as text", "glyph_no * 0.1D as l", "0.1D as t", "glyph_no * 0.1D + 0.05D as r", "0.2D as b")
+
+
+def test_joins_of_glyphs_are_never_broadcast(spark):
+    kept = spatial.kept(grid(spark), grid(spark).where("glyph_no < 5"))
+    assert kept.count() == 15
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
