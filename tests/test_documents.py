@@ -240,3 +240,14 @@ def test_joins_of_glyphs_are_never_broadcast(spark):
     kept = spatial.kept(grid(spark), grid(spark).where("glyph_no < 5"))
     assert kept.count() == 15
     assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pdf_files_and_texts_in_streams(spark):
+    rows = [(k, i, 612.0, 792.0, 0, pdf.text_content(f"{k} (page) {i}\n\\é")) for k in (1, 2, None) for i in range(3)]
+    files = pdf.write_files(spark.createDataFrame(rows, "out long, pos int, width double, height double, rotate int, content binary"))
+    assert "FlatMapGroups" not in files._jdf.queryExecution().executedPlan().toString()  # no call for each file
+    read = pdf.read_pages(files.select(F.col("out").cast("string").alias("path"), F.col("file").alias("content")))
+    assert {(r.path, r.page_no): r.text for r in pdf.page_texts(read).collect()} == {(None if k is None else str(k), i + 1): f"{k} (page) {i}\\é" for k, i, *_ in rows}
+    assert pdf.read_glyphs(read).groupBy("source", "page_no").agg(F.max("glyph_no")).count() == 9
+    strings = pdf.runs(pdf.text_content("ab\ncde") + b"\n/never" * 9)  # glyphs leave string by string, not page by page
+    assert next(strings).texts == ["a", "b"] and pdf.text_of(pdf.text_content("ab\ncde")) == "abcde"
