@@ -55,11 +55,15 @@ def searchable(glyphs: DataFrame) -> DataFrame:
 
 
 def word_at(glyphs: DataFrame, points: DataFrame) -> DataFrame:
-    """``source, page_no, point_no, text, l, t, r, b``: the whole word of the first glyph with ink that holds each point."""
+    """``source, page_no, point_no, text, l, t, r, b``: the whole word of the first glyph with ink that holds each point.
+
+    Joins are merged and keep the glyphs dealt by page: Spark underrates exploded glyphs and would broadcast them.
+    """
     numbered = spatial.word_numbers(glyphs)
-    held = points.join(numbered, PLACE).where("x between l and r and y between t and b")
-    first = held.groupBy(*PLACE, "point_no").agg(F.min_by("word_no", "glyph_no").alias("word_no"))
-    return first.join(spatial.words(glyphs), [*PLACE, "word_no"]).select(*PLACE, "point_no", "text", "l", "t", "r", "b")
+    held = numbered.join(points.hint("merge"), PLACE).where("x between l and r and y between t and b")
+    first = held.groupBy(*PLACE, "point_no").agg(F.min_by("word_no", "glyph_no").alias("first"))
+    own = numbered.join(first.hint("merge"), PLACE).where("word_no = first")  # only glyphs of such words go on
+    return spatial.joined(own, "point_no").select(*PLACE, "point_no", "text", "l", "t", "r", "b")
 
 
 LINES = pa.list_(pa.struct([(c, pa.float64()) for c in "ltrb"]))

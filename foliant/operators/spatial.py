@@ -89,8 +89,13 @@ def word_numbers(glyphs: DataFrame) -> DataFrame:
 
 def words(glyphs: DataFrame) -> DataFrame:
     """``source, page_no, line_no, word_no, text, l, t, r, b``: glyphs in order as words."""
+    return joined(word_numbers(glyphs))
+
+
+def joined(numbered: DataFrame, *by: str) -> DataFrame:
+    """Numbered glyphs put together as words, for each of ``by`` besides."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("glyph_no", "text"))), lambda g: g["text"]), "")
-    return word_numbers(glyphs).groupBy(*PLACE, "line_no", "word_no").agg(text.alias("text"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
+    return numbered.groupBy(*PLACE, *by, "line_no", "word_no").agg(text.alias("text"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
 
 
 def nearest(glyphs: DataFrame, points: DataFrame, reach: float) -> DataFrame:
@@ -98,7 +103,7 @@ def nearest(glyphs: DataFrame, points: DataFrame, reach: float) -> DataFrame:
     dx = F.greatest(F.col("l") - F.col("x"), F.col("x") - F.col("r"), F.lit(0.0))
     dy = F.greatest(F.col("t") - F.col("y"), F.col("y") - F.col("b"), F.lit(0.0))
     far = F.sqrt(dx * dx + dy * dy)
-    met = points.join(glyphs, PLACE).withColumn("distance", far).where(F.col("distance") <= reach)
+    met = points.hint("merge").join(glyphs, PLACE).withColumn("distance", far).where(F.col("distance") <= reach)
     return met.groupBy(*PLACE, "point_no").agg(F.min(F.struct("distance", "glyph_no")).alias("m")).select(*PLACE, "point_no", F.col("m.glyph_no").alias("glyph_no"), F.col("m.distance").alias("distance"))
 
 

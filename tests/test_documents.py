@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import compare, forms, graphs, measures, pages, retrieval, spatial
+from foliant.operators import compare, forms, graphs, measures, pages, reading, retrieval, spatial
 from foliant.sources import html, pdf
 
 
@@ -251,3 +251,14 @@ def test_pdf_files_and_texts_in_streams(spark):
     assert pdf.read_glyphs(read).groupBy("source", "page_no").agg(F.max("glyph_no")).count() == 9
     strings = pdf.runs(pdf.text_content("ab\ncde") + b"\n/never" * 9)  # glyphs leave string by string, not page by page
     assert next(strings).texts == ["a", "b"] and pdf.text_of(pdf.text_content("ab\ncde")) == "abcde"
+
+
+def test_codes_and_words_at_points_stay_off_the_driver(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    words = spark.range(20).selectExpr("id % 2 as key", "0 as side", "id as pos", "string(id % 5) as word")
+    assert sorted(map(tuple, compare.codes(words).collect())) == sorted((k, str((k + 2 * i) % 5), i) for k in (0, 1) for i in range(5))
+    assert "Broadcast" not in plan(compare.interned(words))
+    points = spark.range(3).selectExpr("id as source", "1 as page_no", "0 as point_no", "0.32D as x", "0.15D as y")
+    found = reading.word_at(grid(spark), points)
+    assert {(r.source, r.text, round(r.l, 6)) for r in found.collect()} == {(s, "a", 0.3) for s in range(3)}
+    assert "Broadcast" not in plan(found)
