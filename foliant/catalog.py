@@ -477,7 +477,7 @@ i as (select *, sum(case when reach is null or a > reach then 1 else 0 end) over
 select l_orderkey, min(a) as a, max(b) as b from i group by l_orderkey, island""")
 def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("l_linenumber") * 10
-    spans = read(spark, sf_dir, "lineitem").select("l_orderkey", a.cast("int").alias("a"), (a + F.col("l_quantity")).cast("int").alias("b"))
+    spans = read(spark, sf_dir, "lineitem").select("l_orderkey", a.cast("int").alias("a"), F.rint(a + F.col("l_quantity")).cast("int").alias("b"))
     return spatial.merged_intervals(spans, ["l_orderkey"])
 
 

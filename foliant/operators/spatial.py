@@ -108,8 +108,8 @@ def nearest(glyphs: DataFrame, points: DataFrame, reach: float) -> DataFrame:
 
 
 def merged_intervals(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, a, b``: spans of a key that touch or overlap as one."""
-    order = Window.partitionBy(*keys).orderBy("a", "b")
+    """``keys, a, b``: spans of a key that touch or overlap as one; a missing end comes last and breaks nothing."""
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("a"), F.asc_nulls_last("b"))
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0))
     return marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")

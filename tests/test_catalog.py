@@ -35,3 +35,11 @@ def test_same_rows(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_rows(spark, name):
     assert catalog.queries()[name](spark, FOLDER).count() > 0
+
+
+def test_merged_spans_of_odd_quantities(spark, tmp_path):
+    """Parts of a unit are rounded, halves to even, and a missing quantity does not break a span."""
+    path = f"{tmp_path}/lineitem.parquet"
+    duckdb.sql(f"copy (select * from (values (1, 7, 1, 4.5::double), (1, 7, 1, 0.6), (1, 7, 2, null), (1, 7, 2, 9.5), (1, 7, 3, 2.5), (2, 7, null, 1.0), (2, 7, 1, 1.5)) t(l_orderkey, l_partkey, l_linenumber, l_quantity)) to '{path}'")
+    want = duckdb.sql(catalog.oracle_sql()["merged_spans"].replace("from lineitem", f"from '{path}'")).df()
+    same(catalog.queries()["merged_spans"](spark, str(tmp_path)).toPandas(), want)
