@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import batches, texts, trim
+from foliant.llm.tokens import bytes_of, split, words_of
 
-#: Latent dimensions and the extra columns of the random sketch; the decomposition is fitted on about FIT_DOCS documents
-#: (a hash of doc_id chooses them) and all benchmark items; document frequencies cover all documents.
-RANK, EXTRA, FIT_DOCS, SEED = 384, 16, 20_000, 5
+#: Latent dimensions and the extra columns of the random sketch; the decomposition is fitted on all documents and all benchmark items.
+RANK, EXTRA, SEED = 384, 16, 5
+#: Up to so many terms a task adds up their products in a table of terms by terms, and beyond by columns of the sketch.
+TABLE_TERMS = 4096
 #: Words of a passage for the decomposition; search moves windows of two blocks and more by one block.
 PASSAGE, BLOCK, PIECE = 32, 8, 16_384
 #: Words in more than this share of the documents have no weight, but for items that would keep less than half of theirs: all words
@@ -57,17 +59,44 @@ def masks_of(words: list[bytes]) -> dict[bytes, int]:
     return out
 
 
+class Terms:
+    """Places of the words of many texts in a list of terms, without a Python object for a word."""
+
+    def __init__(self, terms: list[bytes]) -> None:
+        joined = np.frombuffer(b" ".join(terms), np.uint8)
+        hashes = words_of(0, joined, np.array([0, len(joined)])).hashes
+        self.order = np.argsort(hashes)
+        self.keys = hashes[self.order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[hashes >> np.uint64(44)] = True
+        self.plain = np.frombuffer(PLAIN, np.uint8)
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The words of a batch's texts as ``plain`` has them, in order (-1: no term), and how many each text has."""
+        raw, offsets = bytes_of(batch)
+        sizes, held = np.zeros(len(offsets) - 1, np.int64), [np.empty(0, np.int64)]
+        for words in split(self.plain[raw], offsets):
+            sizes[words.first : words.first + len(words.counts)] += words.counts
+            ids = np.full(len(words.hashes), -1)
+            at = np.flatnonzero(self.maybe[words.hashes >> np.uint64(44)])
+            wanted = words.hashes[at]
+            slot = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            ids[at] = np.where(self.keys[slot] == wanted, self.order[slot], -1)
+            held.append(ids)
+        return np.concatenate(held), sizes
+
+
 def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and the number of documents."""
     held = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {w: i for i, w in enumerate(held.value)}
-        n = np.zeros(len(ids) + 1, np.int64)
+        wide, known = len(held.value), Terms(held.value)
+        n = np.zeros(wide + 1, np.int64)
         for batch in parts:
-            for text in texts(batch):
-                found = [ids[w] for w in ids.keys() & set(plain(text))]
-                n[found] += 1
+            ids, sizes = known.read(batch)
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            n[:-1] += np.bincount(np.unique((text * wide + ids)[ids >= 0]) % wide, minlength=wide)
             n[-1] += batch.num_rows
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
@@ -91,13 +120,33 @@ def term_weights(terms: list[bytes], items: list[list[bytes]], df: np.ndarray, n
     return weights
 
 
-def coded(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
-    """Term ids, -1 for words without weight and for a word that repeats the one before it."""
-    get = ids.get
-    out = np.array([get(w, -1) for w in words], np.int64)
-    if len(out) > 1:
-        out[1:][out[1:] == out[:-1]] = -1
-    return out
+def passages(ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms with weight and the numbers of their passages (ascending), of texts of ``sizes`` words; a word that repeats the one before it doesn't count."""
+    ids = np.where(weights[ids] > 0, ids, -1)  # -1 has some weight or none and stays -1
+    starts = np.cumsum(sizes) - sizes
+    again = np.concatenate([[False], ids[1:] == ids[:-1]])[: len(ids)]
+    again[starts[sizes > 0]] = False
+    known = np.flatnonzero((ids >= 0) & ~again)
+    many = -(-sizes // PASSAGE)
+    number = np.arange(len(ids)) - np.repeat(starts, sizes)
+    number = number // PASSAGE + np.repeat(np.cumsum(many) - many, sizes)
+    return ids[known], number[known]
+
+
+def products(table: np.ndarray, ids: np.ndarray, at: np.ndarray, weights: np.ndarray) -> None:
+    """Adds to ``table`` the upper part of A'A of passages, terms by terms before their weights, half of it on the diagonal; arguments as in ``sketched``."""
+    if not len(ids):
+        return
+    new = np.concatenate([[False], at[1:] != at[:-1]])
+    local = np.cumsum(new)
+    share = 1 / np.bincount(local, weights[ids] ** 2)[local]
+    flat = table.reshape(-1)
+    np.add.at(flat, ids * (len(table) + 1), share / 2)
+    for apart in range(1, min(PASSAGE, len(ids))):
+        met = np.flatnonzero(local[apart:] == local[:-apart])
+        if not len(met):
+            break
+        np.add.at(flat, ids[met] * len(table) + ids[met + apart], share[met])
 
 
 def sketched(ids: np.ndarray, at: np.ndarray, weights: np.ndarray, omega: np.ndarray) -> np.ndarray:
@@ -118,10 +167,19 @@ def sketched(ids: np.ndarray, at: np.ndarray, weights: np.ndarray, omega: np.nda
     return out
 
 
-def latent_space(docs: DataFrame, n_docs: int, items: list[np.ndarray], terms: list[bytes], weights: np.ndarray, fit_docs: int = FIT_DOCS, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors of the TF-IDF passages, by a randomised decomposition in one distributed pass.
+def pieces(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of about PIECE terms that end with a passage."""
+    first = 0
+    while first < len(at):
+        last = int(np.searchsorted(at, at[min(first + PIECE, len(at)) - 1], side="right"))
+        yield first, last
+        first = last
+
+
+def latent_space(docs: DataFrame, n_docs: int, items: list[np.ndarray], terms: list[bytes], weights: np.ndarray, fit_docs: int | None = None, rank: int = RANK, most: int = TABLE_TERMS) -> np.ndarray:
+    """Right singular vectors of the TF-IDF passages, by a randomised decomposition in one distributed pass over all documents.
 
-    Each task multiplies its passages with the same random matrix and back; the products, of one size whatever
+    A caller can give a number of documents to be about as many as are read (a hash of doc_id chooses them). Each task multiplies its passages with the same random matrix and back; the products, of one size whatever
     the input, are added up in a tree of tasks. Benchmark items weigh as much in all as the documents' passages.
     """
     width = min(rank + EXTRA, len(terms))
@@ -130,26 +188,32 @@ def latent_space(docs: DataFrame, n_docs: int, items: list[np.ndarray], terms: l
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, w, seed, wide = held.value
-        ids = {t: i for i, t in enumerate(words) if w[i] > 0}
+        known, w = Terms(words), w.astype(np.float64)
         rand = np.random.default_rng(seed).normal(size=(len(words), wide)).astype(np.float32)
+        table = np.zeros((len(words), len(words))) if len(words) <= most else None
         total, n = np.zeros_like(rand), 0
         for batch in parts:
-            for text in texts(batch):
-                every = coded(plain(text), ids)
-                for start in range(0, len(every), PIECE):
-                    piece = every[start : start + PIECE]
-                    known = np.flatnonzero(piece >= 0)
-                    total += sketched(piece[known], known // PASSAGE, w, rand)
-                    n += len(np.unique(known // PASSAGE))
+            ids, at = passages(*known.read(batch), w)
+            for first, last in pieces(at):
+                if table is None:
+                    total += sketched(ids[first:last], at[first:last], w, rand)
+                else:
+                    products(table, ids[first:last], at[first:last], w)
+            n += len(np.unique(at))
+        if table is not None:
+            total = (w[:, None] * ((table + table.T) @ (w[:, None] * rand))).astype(np.float32)
+        del table
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["z", "n"])
 
     def add(a: tuple[bytes, int], b: tuple[bytes, int]) -> tuple[bytes, int]:
         return (np.frombuffer(a[0], np.float32) + np.frombuffer(b[0], np.float32)).tobytes(), a[1] + b[1]
 
-    share = min(1.0, fit_docs / max(n_docs, 1))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).select("text")
+    read = docs.select("text")
+    if fit_docs is not None and fit_docs < n_docs:
+        read = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(fit_docs / n_docs * (1 << 20))).select("text")
     zero = (np.zeros_like(omega).tobytes(), 0)
-    z, n = sample.mapInArrow(run, "z binary, n long").rdd.map(lambda r: (bytes(r.z), r.n)).treeAggregate(zero, add, add, depth=3)
+    z, n = read.mapInArrow(run, "z binary, n long").rdd.map(lambda r: (bytes(r.z), r.n)).treeAggregate(zero, add, add, depth=3)
     z = np.frombuffer(z, np.float32).reshape(omega.shape).astype(np.float64)
     own = np.concatenate(items) if items else np.empty(0, np.int64)
     at = np.repeat(np.arange(len(items)), [len(i) for i in items])
@@ -349,7 +413,7 @@ class Index:
         return max((r for r in read if r[0] >= LCS_WITH_ANSWER and r[1] >= ANSWER), default=None)
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, fit_docs: int, rank: int) -> list[tuple]:
+def prepared(docs: DataFrame, benchmark: DataFrame, fit_docs: int | None, rank: int) -> list[tuple]:
     """The pieces of one Index for each part of the benchmark that fits an executor."""
     rows = benchmark.where("text is not null").select("item_id", F.col("text").cast("binary").alias("raw"))
     size, count = rows.agg(F.sum(F.length("raw")), F.count("*")).first()
@@ -378,7 +442,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, fit_docs: int, rank: int) ->
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, fit_docs: int = FIT_DOCS, rank: int = RANK) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, fit_docs: int | None = None, rank: int = RANK) -> DataFrame:
     """``doc_id, item_id, cosine, in_order, answer``: a row for each document and each benchmark item that it holds.
 
     ``in_order`` is the part of the item's words that the best window has in their order, ``answer`` that of its
@@ -409,7 +473,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, fit_docs: int = FIT_DOCS, rank:
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, fit_docs: int = FIT_DOCS, rank: int = RANK) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, fit_docs: int | None = None, rank: int = RANK) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns, whatever their names; texts are not shuffled.
 
     Null and empty texts stay, repeated rows stay or go together, an empty table stays empty, as all does with an empty benchmark.

@@ -283,6 +283,34 @@ def test_randomised_decomposition_spans_the_items(spark):
     assert held.min() > 0.8
 
 
+def test_space_is_fitted_on_all_documents(spark):
+    rng = random.Random(26)
+    terms = sorted(f"t{i:03d}".encode() for i in range(60))
+    rows = [(i, " ".join(rng.choice(terms + [b"other", b"T007,t008"]).decode() for _ in range(rng.randint(0, 90))), "en") for i in range(300)] + [(None, None, "en"), (300, "t001 t001 t001", "en")]
+    weights = np.array([rng.choice([0.0, 0.5, 2.0]) for _ in terms])
+    items = [np.array([j for j in rng.sample(range(60), 12) if weights[j]]) for _ in range(5)]
+    docs = frame(spark, rows).repartition(3)
+    index = {t: i for i, t in enumerate(terms) if weights[i] > 0}
+    gram, count = np.zeros((60, 60)), 0
+    for _, text, _ in rows:
+        ids = np.array([index.get(w, -1) for w in latent.plain((text or "").encode())], np.int64)
+        ids[1:][ids[1:] == ids[:-1]] = -1
+        for at in range(0, len(ids), latent.PASSAGE):
+            row = np.bincount(own := ids[at : at + latent.PASSAGE][ids[at : at + latent.PASSAGE] >= 0], minlength=60) * weights
+            if len(own):
+                gram += np.outer(row, row) / (weights[own] ** 2).sum()
+                count += 1
+    for own in items:
+        row = np.bincount(own, minlength=60) * weights
+        gram += count / len(items) * np.outer(row, row) / (weights[own] ** 2).sum()
+    best = np.linalg.eigh(gram)[1][:, -12:]
+    for n_docs, most in ((301, 4096), (301, 0), (10**6, 4096)):  # however many documents there are, and by either way of adding up
+        space = latent.latent_space(docs, n_docs, items, terms, weights, rank=60, most=most)[:, :12]
+        assert np.allclose(space @ space.T, best @ best.T, atol=1e-3)
+    got, n = latent.document_frequencies(docs, terms)
+    assert n == len(rows) and got.tolist() == [sum(t in latent.plain((x or "").encode()) for _, x, _ in rows) for t in terms]
+
+
 def test_rising():
     rng = random.Random(7)
     for _ in range(100):
