@@ -160,6 +160,31 @@ def test_quality_by_brute_force(spark, monkeypatch):
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0
 
 
+def test_quality_is_fitted_on_all_trusted_documents(spark, monkeypatch):
+    rng = random.Random(27)
+    rows = [(i, grammar(rng, rng.randint(0, 9)), "en") for i in range(5000)] + [(6000 + i, f"w{i} unseen words", "en") for i in range(20)] + [(7000, None, "en"), (7001, "", "en")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(5000)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows).repartition(3)
+    ids = {r.doc_id for r in kneser_ney.chosen(labels).collect()}
+    assert len(ids) > 3500 and ids == {r.id for r in spark.range(5000).where("pmod(xxhash64(id), 4) <> 0").collect()}
+    lines = [["\x01", "\x01", *text.split(), "\x02"] for i, text, _ in rows if i in ids]
+    words = sorted({w for line in lines for w in line})
+    place, counts = {w: i for i, w in enumerate(words)}, {}
+    for line in lines:
+        for t in zip(line, line[1:], line[2:], strict=False):
+            t = tuple(place[w] for w in t)
+            counts[t] = counts.get(t, 0) + 1
+    grams = sorted(counts)
+    scorer = kneser_ney.Scorer(kneser_ney.fit([w.encode() for w in words], np.array(grams), np.array([counts[t] for t in grams])))
+    sums, sizes = scorer.score(*tokens.bytes_of(pa.RecordBatch.from_arrays([pa.array([text for _, text, _ in rows])], ["text"])))
+    want = {i: x for (i, _, _), x in zip(rows, sums / sizes, strict=True)}
+    for shard, chunk in ((1 << 20, 1 << 20), (3000, 700)):  # one shard and many
+        monkeypatch.setattr(kneser_ney, "SHARD", shard)
+        monkeypatch.setattr(kneser_ney, "CHUNK", chunk)
+        got = {r.doc_id: r.nats for r in kneser_ney.classify(docs, labels).collect()}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-4
+
+
 def test_toxic_text_is_not_trusted(spark):
     rng = random.Random(18)
     rows = [(i, grammar(rng, 40), "en") for i in range(400)]
