@@ -500,3 +500,16 @@ def test_large_benchmarks_go_in_parts(spark):
     assert len(parts) >= 3 and sum(len(p[2]) for p in parts) == 2500
     assert max(len(p[0]) * len(p[2]) for p in parts) <= 2 * latent.PART_CELLS
     assert {(r.doc_id, r.item_id) for r in latent.leaks(docs, benchmark, 100, 16).collect()} == {(i, i * 7) for i in range(6)}
+
+
+def test_pipeline_fits_on_all_documents(spark, corpus, monkeypatch):
+    """Neither fit of the pipeline gets a bound on its documents."""
+    folder, _, _ = corpus
+    asked, space, train = [], latent.latent_space, kneser_ney.train
+    monkeypatch.setattr(latent, "latent_space", lambda *a: asked.append(a[5]) or space(*a))
+    monkeypatch.setattr(kneser_ney, "train", lambda docs, ids: asked.append(ids.count()) or train(docs, ids))
+    docs = common.table(spark, folder, "documents")
+    corpus_pipeline.decontamination(spark, docs, folder)
+    corpus_pipeline.quality(spark, docs, folder)
+    labels = common.table(spark, folder, "labels")
+    assert asked == [None, kneser_ney.trusted_ids(labels).where("pmod(xxhash64(doc_id), 4) <> 0").count()]
