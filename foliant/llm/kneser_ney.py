@@ -15,11 +15,11 @@ import pyarrow.parquet
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import batches, durable, shared_folder, small, trim
+from foliant.llm.common import batches, durable, release, shared_folder, small, trim
 from foliant.llm.tokens import bytes_of, split, words_of
 
 #: The model goes in shards of about so many trigrams, by a hash of their middle word; documents meet it so many words at a time.
-SHARD, CHUNK = 1 << 20, 2 << 20
+SHARD, CHUNK = 1 << 20, 5 << 20
 #: Up to so many ids of documents to fit on go to each executor, so that texts aren't shuffled to find them; more are joined.
 SENT_IDS = 4_000_000
 #: A document is rejected above this quantile of its language's trusted documents, plus so many nats; a language needs so many of them.
@@ -183,14 +183,6 @@ def chosen(labels: DataFrame, limit: int | None = None) -> DataFrame:
     return (trusted if limit is None else trusted.orderBy("h", "doc_id").limit(limit)).select("doc_id")
 
 
-def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of two of them, in this order."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + b
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 def mark(text: str) -> np.uint64:
     return words_of(0, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])).hashes[0]
 
@@ -208,37 +200,85 @@ def lined(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return line, ends, sizes
 
 
-def predicted(ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places of a line that follow two others of their text."""
-    return np.arange((sizes + 1).sum()) + np.repeat(2 * np.arange(1, len(sizes) + 1), sizes + 1)
-
-
 def squeezed(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(pickle.dumps([(planes(a), a.dtype.str) for a in arrays]), 1)
+    """Whole numbers of 0 and more, by their bytes, without those that are zero throughout, compressed."""
+    out = []
+    for a in arrays:
+        a = a.astype(np.uint64)
+        wide = (int(a.max(initial=0)).bit_length() + 7) // 8
+        out.append((len(a), [(a >> np.uint64(8 * i)).astype(np.uint8).tobytes() for i in range(wide)]))
+    raw = pickle.dumps(out)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def loosened(raw: bytes) -> list[np.ndarray]:
-    return [unplaned(a, np.dtype(kind)) for a, kind in pickle.loads(zlib.decompress(raw))]
+    """The arrays of ``squeezed``, in 32 bits where three bytes hold them, else in 64; without a sign where the last byte is in use."""
+    out = []
+    for size, layers in pickle.loads(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)):
+        a = np.zeros(size, np.int32 if len(layers) < 4 else np.int64 if len(layers) < 8 else np.uint64)
+        for i, layer in enumerate(layers):
+            a |= np.left_shift(np.frombuffer(layer, np.uint8), 8 * i, dtype=a.dtype)
+        out.append(a)
+    return out
 
 
 def shard_of(middle: np.ndarray, shards: int) -> np.ndarray:
     return ((middle >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
-def counted(tables: list[pa.Table] | pa.Table) -> tuple[bytes, np.ndarray, np.ndarray, bytes]:
-    """A shard from its trigrams: their keys, contexts and counts, the pairs that end them with theirs; tallies of both; before how many middle words each last one stands."""
-    parts = [loosened(raw) for raw in tables.column("part").to_pylist()]
-    u, v, w = (np.concatenate([words[places[i * (len(places) // 3) : (i + 1) * (len(places) // 3)]] for words, places in parts]) for i in range(3))
-    before = joined(u, v)
-    keys3, first, n3 = np.unique(joined(before, w), return_index=True, return_counts=True)
-    contexts, context = np.unique(before[first], return_inverse=True)
-    v, w = v[first], w[first]
-    keys2, first, n2 = np.unique(joined(v, w), return_index=True, return_counts=True)
-    middles, middle = np.unique(v[first], return_inverse=True)
-    last, n1 = np.unique(w[first], return_counts=True)
-    grow = lambda a: np.diff(a, prepend=np.uint64(0))
-    model = squeezed(grow(keys3), context.astype(np.int32), n3.astype(np.int32), grow(contexts), grow(keys2), middle.astype(np.int32), n2.astype(np.int32), grow(middles))
-    return model, tally(n3), tally(n2), squeezed(last, n1.astype(np.int64))
+def counted(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Distinct trigrams, by middle, first and last word (``v``, ``u``, ``w``: ids below ``size``): middle and first word of each context, how many trigrams it has; last words of these, and sums of ``n``."""
+    contexts, context = np.unique(v * size + u, return_inverse=True)
+    keys, at = np.unique(context * size + w, return_inverse=True)
+    n = np.bincount(at, n, len(keys)).astype(np.int64)
+    return contexts // size, contexts % size, np.bincount(keys // size, minlength=len(contexts)), keys % size, n
+
+
+def dealt(line: np.ndarray, firsts: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, its words and its trigrams with their counts) of a line whose texts begin at ``firsts``."""
+    words, place = np.unique(line, return_inverse=True)
+    inside = np.ones(len(line), bool)
+    inside[firsts] = inside[firsts + 1] = False
+    at = np.flatnonzero(inside)
+    numbers = shard_of(words, shards)
+    order = np.argsort(numbers, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    middle, first, sizes, last, n = counted(rank[place[at - 1]], place[at - 2], place[at], np.ones(len(at)), len(words))
+    middle = order[middle]
+    found, begins = np.unique(numbers[middle], return_index=True)  # contexts stand by shard
+    ends, upto = np.append(begins[1:], len(middle)), np.concatenate([[0], np.cumsum(sizes)])
+    for number, a, b in zip(found.tolist(), begins.tolist(), ends.tolist(), strict=True):
+        c, d = upto[a], upto[b]
+        used, places = np.unique(np.concatenate([middle[a:b], first[a:b], last[c:d]]), return_inverse=True)
+        m, f, x = np.split(places, [b - a, 2 * (b - a)])
+        yield number, squeezed(np.diff(words[used], prepend=np.uint64(0)), np.diff(m, prepend=0), f, sizes[a:b], x, n[c:d])
+
+
+def fitted(parts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A shard of the model from its parts: words, contexts, trigrams and the pairs that end them, with counts; tallies of both."""
+    parts = [loosened(raw) for raw in parts]
+    hashes = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+    words = np.unique(np.concatenate(hashes))
+    ids = [np.searchsorted(words, h) for h in hashes]
+    v = np.concatenate([np.repeat(i[np.cumsum(p[1])], p[3]) for i, p in zip(ids, parts, strict=True)])
+    u = np.concatenate([np.repeat(i[p[2]], p[3]) for i, p in zip(ids, parts, strict=True)])
+    w = np.concatenate([i[p[4]] for i, p in zip(ids, parts, strict=True)])
+    n = np.concatenate([p[5] for p in parts])
+    del parts, hashes, ids
+    middle, first, sizes, last, n = counted(v, u, w, n, len(words))
+    del v, u, w
+    pairs, n2 = np.unique(np.repeat(middle, sizes) * len(words) + last, return_counts=True)
+    model = squeezed(np.diff(words, prepend=np.uint64(0)), np.diff(middle, prepend=0), first, sizes, last, n, np.diff(pairs // len(words), prepend=0), pairs % len(words), n2)
+    return model, tally(n), tally(n2)
+
+
+def preceded(model: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The last words of a shard's pairs, and before each how many middle words stand."""
+    parts = loosened(model)
+    n = np.bincount(parts[7])
+    some = np.flatnonzero(n)
+    return np.cumsum(parts[0], dtype=np.uint64)[some], n[some]
 
 
 @dataclass
@@ -258,6 +298,12 @@ class Fitted:
         return pa.parquet.read_table(path, filesystem=system, partitioning=None)
 
 
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows that have one of these ids; texts are not shuffled for up to SENT_IDS of them."""
+    sent = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return docs.join(F.broadcast(ids) if sent else ids.hint("merge"), "doc_id", "left_semi")
+
+
 def train(docs: DataFrame, ids: DataFrame) -> Fitted | None:
     """Fits the model on all documents with these ids; None if there is none.
 
@@ -265,149 +311,182 @@ def train(docs: DataFrame, ids: DataFrame) -> Fitted | None:
     contexts and pairs depend on, but for the discounts and the words' own shares, which come from counts over all shards.
     """
     spark = docs.sparkSession
-    sent = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids) if sent else ids.hint("merge"), "doc_id", "left_semi").select("text").where("text is not null")
+    sample = with_ids(docs.select("doc_id", "text"), ids).select("text").where("text is not null")
     size = sample.agg(F.sum(F.octet_length("text") / 6 + 1)).first()[0]
     if size is None:
         return None
     shards = int(size // SHARD) + 1
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def dealt(lines: list) -> pa.RecordBatch:
-            u, v, w = (np.concatenate([line[at - back] for line, at in lines]) for back in (2, 1, 0))
-            shard = shard_of(v, shards)
-            order = np.argsort(shard, kind="stable")
-            numbers, first = np.unique(shard[order], return_index=True)
-            out = []
-            for rows in np.split(order, first[1:]):
-                words, places = np.unique(np.concatenate([u[rows], v[rows], w[rows]]), return_inverse=True)
-                out.append(squeezed(words, places.astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(out, pa.binary())], ["shard", "part"])
+        def flush(lines: list) -> Iterator[pa.RecordBatch]:
+            begins = np.cumsum([0] + [len(line) for line, _ in lines])
+            firsts = np.concatenate([f + b for (_, f), b in zip(lines, begins, strict=False)])
+            for number, part in dealt(np.concatenate([line for line, _ in lines]), firsts, shards):
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part], pa.binary())], ["shard", "part"])
 
         lines, waiting = [], 0
         for batch in parts:
             line, ends, sizes = lined(*bytes_of(batch))
-            lines.append((line, predicted(ends, sizes)))
+            lines.append((line, ends - sizes - 3))
             waiting += len(line)
             if waiting >= SHARD:
-                yield dealt(lines)
+                yield from flush(lines)
                 lines, waiting = [], 0
         if waiting:
-            yield dealt(lines)
+            yield from flush(lines)
+        del lines
         trim()
 
     def fit_shard(key: tuple, rows: pa.Table) -> pa.Table:
-        model, three, two, words = counted(rows)
+        model, three, two = fitted(rows.column("part").to_pylist())
         trim()
-        return pa.table({"shard": [key[0].as_py()], "model": pa.array([model], pa.binary()), "three": [three.tolist()], "two": [two.tolist()], "words": pa.array([words], pa.binary())})
+        return pa.table({"shard": [key[0].as_py()], "model": pa.array([model], pa.binary()), "three": [three.tolist()], "two": [two.tolist()]})
 
     def listed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for raw in batch.column("words").to_pylist():
-                last, n = loosened(raw)
+            for raw in batch.column("model").to_pylist():
+                last, n = preceded(raw)
                 yield pa.RecordBatch.from_arrays([pa.array(last.view(np.int64)), pa.array(n)], ["word", "n"])
+        trim()
 
     shared_folder(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    kinds = "model binary, three array<long>, two array<long>, words binary"
+    kinds = "model binary, three array<long>, two array<long>"
     parts = sample.mapInArrow(deal, "shard long, part binary").groupBy("shard").applyInArrow(fit_shard, f"shard long, {kinds}")
     parts.write.partitionBy("shard").parquet(f"{folder}/shards")
-    fitted = spark.read.schema(f"{kinds}, shard long").parquet(f"{folder}/shards")
-    fitted.select("words").mapInArrow(listed, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(f"{folder}/words")
-    tallies = fitted.select("three", "two", "shard").collect()  # a row for each shard
+    del parts
+    release(spark)  # what was shuffled goes before more is
+    made = spark.read.schema(f"{kinds}, shard long").parquet(f"{folder}/shards")
+    made.select("model").mapInArrow(listed, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(f"{folder}/words")
+    tallies = made.select("three", "two", "shard").collect()  # a row for each shard
     three, two = (discounts(np.sum([r[i] for r in tallies], axis=0)) for i in range(2))
     return Fitted(folder, shards, three, two, frozenset(r.shard for r in tallies))
 
 
 class Sharded:
-    """Sums of -log p for many texts at once, by a model in shards."""
+    """Sums of -log p for many texts at once, by a model in shards. Word ids are places in ``words``; an unknown word has the id after the last."""
 
-    def __init__(self, fitted: Fitted) -> None:
-        self.fitted = fitted
-        rows = fitted.rows("words")
+    def __init__(self, model: Fitted) -> None:
+        self.model = model
+        rows = model.rows("words")
         words, n = rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+        steps, total = discounts(tally(n)), n.sum()
+        rest = steps[np.minimum(n, 3) - 1].sum() / total / (len(n) + 2)  # all words, the start, and one for unknown words
+        share = ((n - steps[np.minimum(n, 3) - 1]) / total + rest).astype(np.float32)
+        if not (words == mark(START)).any():
+            words, share = np.append(words, mark(START)), np.append(share, np.float32(rest))
         order = np.argsort(words)
-        self.words, n = words[order], n[order]
-        del rows, words, order
-        self.rest = (steps := discounts(tally(n)))[np.minimum(n, 3) - 1].sum() / n.sum() / (len(n) + 2)  # all words, the start, and one for unknown words
-        self.share = ((n - steps[np.minimum(n, 3) - 1]) / n.sum() + self.rest).astype(np.float32)
-        del n
+        self.words, self.share = words[order], np.append(share[order], np.float32(rest))
+        self.of = np.append(shard_of(self.words, model.shards), -1).astype(np.int16 if model.shards < 1 << 15 else np.int32)
+        del rows, words, n, share, order
         trim()
 
-    def shard(self, number: int) -> list[np.ndarray]:
-        """Keys of trigrams, contexts, pairs and middle words, with the shares or weights of each."""
-        raw = self.fitted.rows(f"shards/shard={number}").column("model")[0].as_py()
-        keys3, context, n3, contexts, keys2, middle, n2, middles = loosened(raw)
-        keys3, contexts, keys2, middles = (np.cumsum(k, dtype=np.uint64) for k in (keys3, contexts, keys2, middles))
-        own3, back2 = smooth(context, len(contexts), n3, self.fitted.steps3)
-        own2, back1 = smooth(middle, len(middles), n2, self.fitted.steps2)
-        return [keys3, own3, contexts, back2, keys2, own2, middles, back1]
-
-    def nats(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """-log p of the words at these places of a line, given the two before each."""
+    def ids(self, line: np.ndarray) -> np.ndarray:
         words, place = np.unique(line, return_inverse=True)
         found = find(self.words, words)
-        uni = np.where(found >= 0, self.share[found], self.rest)[place]
-        del words, place, found
-        shard = shard_of(line[at - 1], self.fitted.shards)
-        order = np.argsort(shard, kind="stable")
-        numbers, first = np.unique(shard[order], return_index=True)
-        out = np.zeros(len(at))
-        for number, rows in zip(numbers.tolist(), np.split(order, first[1:]), strict=True):
-            where, p = at[rows], uni[at[rows]]
-            if number in self.fitted.filled:
-                keys3, own3, contexts, back2, keys2, own2, middles, back1 = self.shard(number)
-                u, v, w = line[where - 2], line[where - 1], line[where]
-                middle = find(middles, v)
-                p = p * np.where(middle >= 0, back1[middle], 1.0)
-                pair = find(keys2, joined(v, w))
-                p += np.where(pair >= 0, own2[pair], 0.0)
-                before = joined(u, v)
-                context = find(contexts, before)
-                known = np.flatnonzero(context >= 0)
-                p[known] *= back2[context[known]]
-                whole = find(keys3, joined(before[known], w[known]))
-                p[known] += np.where(whole >= 0, own3[whole], 0.0)
-                del keys3, own3, contexts, back2, keys2, own2, middles, back1
-            out[rows] = -np.log(p)
-        return out
-
-
-def scores(docs: DataFrame, model: Fitted | None, row: str | None = None) -> DataFrame:
-    """``docs`` with ``nats`` a token (perplexity is its exponential) of ``text``, or of that field of a column of rows; null without a model.
+        return np.where(found >= 0, found, len(self.words)).astype(np.int32)[place]
+
+    def shard(self, number: int) -> list[np.ndarray]:
+        """Its words; keys of trigrams, contexts and pairs, with the shares or weights of each; weights of middle words. Keys are of its own word ids."""
+        raw = self.model.rows(f"shards/shard={number}").column("model")[0].as_py()
+        grow, middle, first, sizes, last, n3, middle2, last2, n2 = loosened(raw)
+        del raw
+        words, size = np.cumsum(grow, dtype=np.uint64), len(grow)
+        contexts = np.cumsum(middle) * size + first
+        keys3 = np.repeat(np.arange(len(contexts)) * size, sizes) + last
+        del grow, middle, first, last
+        starts = np.cumsum(sizes) - sizes
+        d, total = self.model.steps3[np.minimum(n3, 3) - 1], np.add.reduceat(n3, starts, dtype=np.int64)
+        back2 = np.add.reduceat(d, starts) / total
+        own3 = ((n3 - d) / np.repeat(total, sizes)).astype(np.float32)
+        del n3, d, total, starts, sizes
+        middle2 = np.cumsum(middle2)
+        own2, back1 = smooth(middle2, size, n2, self.model.steps2)
+        return [words, keys3, own3, contexts, back2.astype(np.float32), middle2 * size + last2, own2.astype(np.float32), back1.astype(np.float32)]
+
+    def sums(self, line: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Sum of -log p of each text's words and end, for texts that begin at ``firsts`` in a line of word ids."""
+        p = self.share[line]
+        p[firsts] = p[firsts + 1] = 1.0  # the starts, which are given
+        shard = np.full(len(line), -1, self.of.dtype)
+        shard[1:] = self.of[line[:-1]]
+        shard[firsts] = shard[firsts + 1] = -1
+        order = np.argsort(shard, kind="stable").astype(np.int32)
+        numbers, first = np.unique(shard, return_counts=True)
+        del shard
+        for number, rows in zip(numbers.tolist(), np.split(order, np.cumsum(first)[:-1]), strict=True):
+            if number in self.model.filled:
+                shard = self.shard(number)
+                for at in range(0, len(rows), 1 << 17):  # a frequent word can bring all rows to one shard
+                    some = rows[at : at + (1 << 17)]
+                    p[some] = self.shares(shard, p[some], *(line[some - back] for back in (2, 1, 0)))
+                del shard
+        del order
+        np.log(p, out=p)
+        return -np.add.reduceat(p, firsts, dtype=np.float64)
+
+    def shares(self, shard: list[np.ndarray], p: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """p of words ``w`` after ``u`` and ``v``, whose middle words are of ``shard``, from their own shares ``p``."""
+        words, keys3, own3, contexts, back2, keys2, own2, back1 = shard
+        size, asked, local = len(words), np.zeros(len(self.words) + 1, bool), np.full(len(self.words) + 1, -1, np.int32)
+        asked[u] = asked[v] = asked[w] = True
+        some = np.flatnonzero(asked[:-1])
+        local[some] = find(words, self.words[some])
+        u, v, w = (local[x].astype(np.int64) for x in (u, v, w))
+        del asked, local, some
+        p = p * np.where(v >= 0, back1[v], np.float32(1))
+        pair = find(keys2, np.where((v >= 0) & (w >= 0), v * size + w, -1))
+        p += np.where(pair >= 0, own2[pair], np.float32(0))
+        context = find(contexts, np.where((v >= 0) & (u >= 0), v * size + u, -1))
+        known = np.flatnonzero(context >= 0)
+        context, w = context[known], w[known]
+        whole = find(keys3, np.where(w >= 0, context * size + w, -1))
+        p[known] = p[known] * back2[context] + np.where(whole >= 0, own3[whole], np.float32(0))
+        return p
+
+
+def scores(docs: DataFrame, model: Fitted | None, row: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (of its columns those to ``keep``) with ``nats`` a token (perplexity is its exponential) of ``text``, or of that field of a column of rows; null without a model.
 
     A task reads the shards one after the other for about CHUNK words of its documents at a time, so that neither is bounded by its memory.
     """
+    keep = docs.columns if keep is None else keep
     if model is None:
-        return docs.withColumn("nats", F.lit(None).cast("double"))
+        return docs.select(*keep, F.lit(None).cast("double").alias("nats"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, held, waiting = None, [], 0
-
-        def scored(held: list) -> Iterator[pa.RecordBatch]:
-            before = np.cumsum([0] + [len(line) for _, line, _, _ in held])
-            at = np.concatenate([predicted(ends, sizes) + b for (_, _, ends, sizes), b in zip(held, before, strict=False)])
-            nats = np.concatenate([[0.0], np.cumsum(scorer.nats(np.concatenate([h[1] for h in held]), at))])
-            first = 0
-            for batch, _, _, sizes in held:
-                cuts = first + np.concatenate([[0], np.cumsum(sizes + 1)])
-                first = int(cuts[-1])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(np.diff(nats[cuts]) / (sizes + 1), 4))], [*batch.schema.names, "nats"])
+        scorer, held, lines, waiting = None, [], [], 0
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            line = np.concatenate(lines)
+            lines.clear()
+            trim()
+            sizes = np.concatenate([sizes for _, sizes in held])
+            nats = scorer.sums(line, np.cumsum(sizes + 3) - sizes - 3)
+            del line
+            for batch, sizes in held:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(nats[: len(sizes)] / (sizes + 1), 4))], [*batch.schema.names, "nats"])
+                nats = nats[len(sizes) :]
+            held.clear()
 
         for batch in parts:
+            if not batch.num_rows:
+                continue
             scorer = scorer or Sharded(model)
-            held.append((batch, *lined(*bytes_of(batch, "text", row))))
-            waiting += len(held[-1][1])
+            line, _, sizes = lined(*bytes_of(batch, "text", row))
+            held.append((batch.select(keep), sizes))
+            lines.append(scorer.ids(line))
+            waiting += len(line)
+            del batch, line
             if waiting >= CHUNK:
-                yield from scored(held)
-                held, waiting = [], 0
-                trim()
+                yield from scored()
+                waiting = 0
         if held:
-            yield from scored(held)
-        del scorer, held
+            yield from scored()
+        scorer = None
         trim()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return docs.mapInArrow(run, f"{schema}, nats double")
 
 
@@ -450,7 +529,7 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int | None = None) -> Da
     batches(docs.sparkSession)
     ids = chosen(labels, limit)
     model = train(docs, ids)
-    scored = durable(scores(docs.select("doc_id", "lang", "text"), model).select("doc_id", "lang", "nats"))
+    scored = durable(scores(docs.select("doc_id", "lang", "text"), model, keep=["doc_id", "lang"]))
     judged = decide(scored, small(thresholds(scored, labels, ids)))
     return judged.select("doc_id", "lang", "nats", F.exp("nats").alias("perplexity"), F.exp("limit").alias("threshold"), "keep")
 
@@ -458,14 +537,15 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int | None = None) -> Da
 def keep_good(docs: DataFrame, labels: DataFrame, limit: int | None = None) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns, whatever their names; decisions are those of ``classify``.
 
-    Texts are scored for the limits and again for the decisions: what a run keeps is then neither stored nor shuffled.
+    Trusted texts that the model was not fitted on are scored for the limits, and all for the decisions: what a run keeps is then neither stored nor shuffled.
     """
     batches(docs.sparkSession)
     ids = chosen(labels, limit)
     model = train(docs, ids)
     if model is None:
         return docs
-    first = durable(scores(docs.select("doc_id", "lang", "text"), model).select("doc_id", "lang", "nats"))
+    judges = trusted_ids(labels).join(ids, "doc_id", "left_anti").where("doc_id is not null")
+    first = durable(scores(with_ids(docs.select("doc_id", "lang", "text"), judges), model, keep=["doc_id", "lang"]))
     limits = small(thresholds(first, labels, ids))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     judged = decide(scores(rows, model, "row").select("row", F.col("row.lang").alias("lang"), "nats"), limits)

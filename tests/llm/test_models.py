@@ -1,6 +1,7 @@
 """Language models, latent retrieval, license alignment and the pipeline against brute force and held-out text."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +186,21 @@ def test_quality_is_fitted_on_all_trusted_documents(spark, monkeypatch):
         assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-4
 
 
+def test_quality_holds_few_bytes_a_word(spark, monkeypatch):
+    """A task that scores holds under 60 bytes for each word of its chunk, whatever it does with them."""
+    rng = random.Random(28)
+    docs = frame(spark, [(i, grammar(rng, 1000), "en") for i in range(50)])
+    model, runs = kneser_ney.train(docs, docs.select("doc_id")), []
+    batch = pa.RecordBatch.from_arrays([pa.array([grammar(rng, 1000) for _ in range(20)])], ["text"])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    kneser_ney.scores(docs.select("text"), model)
+    tracemalloc.start()
+    got = [x for b in runs[0](iter([batch] * 50)) for x in b.column("nats").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1000 and got[:20] * 50 == got and peak < 60 * 1_000_000
+
+
 def test_toxic_text_is_not_trusted(spark):
     rng = random.Random(18)
     rows = [(i, grammar(rng, 40), "en") for i in range(400)]
