@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import batches, texts, trim
+from foliant.llm.common import batches, release, texts, trim
 from foliant.llm.tokens import bytes_of, split, words_of
 
 #: Latent dimensions and the extra columns of the random sketch; the decomposition is fitted on all documents and all benchmark items.
 RANK, EXTRA, SEED = 384, 16, 5
-#: Up to so many terms a task adds up their products in a table of terms by terms, and beyond by columns of the sketch.
-TABLE_TERMS = 4096
+#: Up to so many terms a task adds up their products in a table of terms by terms (its upper part, 67 MB at most, multiplied by so many
+#: rows at a time), and beyond by columns of the sketch.
+TABLE_TERMS, STRIP = 4096, 256
 #: Words of a passage for the decomposition; search moves windows of two blocks and more by one block.
 PASSAGE, BLOCK, PIECE = 32, 8, 16_384
 #: Words in more than this share of the documents have no weight, but for items that would keep less than half of theirs: all words
@@ -92,13 +93,15 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarra
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide, known = len(held.value), Terms(held.value)
-        n = np.zeros(wide + 1, np.int64)
+        n, batch = np.zeros(wide + 1, np.int64), None
         for batch in parts:
             ids, sizes = known.read(batch)
             text = np.repeat(np.arange(len(sizes)), sizes)
             n[:-1] += np.bincount(np.unique((text * wide + ids)[ids >= 0]) % wide, minlength=wide)
             n[-1] += batch.num_rows
         some = np.flatnonzero(n)
+        known = batch = None
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
 
     counts = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -133,20 +136,41 @@ def passages(ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> tuple[n
     return ids[known], number[known]
 
 
+def rows_at(n: int) -> np.ndarray:
+    """For each row of the upper part of a table of ``n`` by ``n``, held in one line, what gives a cell's place when its column is added."""
+    row = np.arange(n)
+    return row * n - row * (row + 1) // 2
+
+
 def products(table: np.ndarray, ids: np.ndarray, at: np.ndarray, weights: np.ndarray) -> None:
-    """Adds to ``table`` the upper part of A'A of passages, terms by terms before their weights, half of it on the diagonal; arguments as in ``sketched``."""
+    """Adds to ``table``, the upper part in one line, A'A of passages, terms by terms before their weights, half of it on the diagonal; arguments as in ``sketched``."""
     if not len(ids):
         return
+    rows = rows_at(len(weights))
     new = np.concatenate([[False], at[1:] != at[:-1]])
     local = np.cumsum(new)
     share = 1 / np.bincount(local, weights[ids] ** 2)[local]
-    flat = table.reshape(-1)
-    np.add.at(flat, ids * (len(table) + 1), share / 2)
+    np.add.at(table, rows[ids] + ids, share / 2)
     for apart in range(1, min(PASSAGE, len(ids))):
         met = np.flatnonzero(local[apart:] == local[:-apart])
         if not len(met):
             break
-        np.add.at(flat, ids[met] * len(table) + ids[met + apart], share[met])
+        a, b = ids[met], ids[met + apart]
+        np.add.at(table, rows[np.minimum(a, b)] + np.maximum(a, b), share[met])
+
+
+def multiplied(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The whole table of ``products`` times ``x``, without ever holding more of it than its line and some rows."""
+    n, rows, out = len(x), rows_at(len(x)), np.zeros_like(x)
+    for first in range(0, n, STRIP):
+        last = min(first + STRIP, n)
+        strip = np.zeros((last - first, n - first))
+        for r in range(first, last):
+            strip[r - first, r - first :] = table[rows[r] + r : rows[r] + n]
+        out[first:last] += strip @ x[first:]
+        out[first:] += strip.T @ x[first:last]
+        del strip  # before the next one is made
+    return out
 
 
 def sketched(ids: np.ndarray, at: np.ndarray, weights: np.ndarray, omega: np.ndarray) -> np.ndarray:
@@ -190,8 +214,8 @@ def latent_space(docs: DataFrame, n_docs: int, items: list[np.ndarray], terms: l
         words, w, seed, wide = held.value
         known, w = Terms(words), w.astype(np.float64)
         rand = np.random.default_rng(seed).normal(size=(len(words), wide)).astype(np.float32)
-        table = np.zeros((len(words), len(words))) if len(words) <= most else None
-        total, n = np.zeros_like(rand), 0
+        table = np.zeros(len(words) * (len(words) + 1) // 2) if len(words) <= most else None
+        total, n, batch, ids, at = np.zeros_like(rand), 0, None, None, None
         for batch in parts:
             ids, at = passages(*known.read(batch), w)
             for first, last in pieces(at):
@@ -201,8 +225,8 @@ def latent_space(docs: DataFrame, n_docs: int, items: list[np.ndarray], terms: l
                     products(table, ids[first:last], at[first:last], w)
             n += len(np.unique(at))
         if table is not None:
-            total = (w[:, None] * ((table + table.T) @ (w[:, None] * rand))).astype(np.float32)
-        del table
+            total = (w[:, None] * multiplied(table, w[:, None] * rand)).astype(np.float32)
+        table = rand = known = batch = ids = at = None
         trim()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["z", "n"])
 
@@ -420,6 +444,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, fit_docs: int | None, rank:
     # A part of p has at most size / 4 / p distinct words and about count / p items.
     runs = max(-(-(size or 0) // BENCHMARK_BYTES), -(-count // PART_ITEMS), int(((size or 0) / 4 * count / PART_CELLS) ** 0.5))
     out = []
+    release(docs.sparkSession)  # what made ``docs`` may have filled the executors
     for i in range(runs):
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(runs)) == i) if runs > 1 else rows
         got = sorted({(r.item_id, bytes(r.raw)) for r in part.collect()}, key=lambda r: (r[0] is None, r))

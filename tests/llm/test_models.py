@@ -529,3 +529,38 @@ def test_pipeline_fits_on_all_documents(spark, corpus, monkeypatch):
     corpus_pipeline.quality(spark, docs, folder)
     labels = common.table(spark, folder, "labels")
     assert asked == [None, kneser_ney.trusted_ids(labels).where("pmod(xxhash64(doc_id), 4) <> 0").count()]
+
+
+def test_table_of_terms_is_held_once_and_by_half():
+    rng, n = np.random.default_rng(31), 900
+    ids, at = rng.integers(0, n, 40_000), np.sort(rng.integers(0, 3000, 40_000))
+    weights, x = rng.random(n) + 0.1, rng.normal(size=(n, 5))
+    tracemalloc.start()
+    table = np.zeros(n * (n + 1) // 2)
+    for first, last in latent.pieces(at):
+        latent.products(table, ids[first:last], at[first:last], weights)
+    tracemalloc.reset_peak()
+    got = weights[:, None] * latent.multiplied(table, weights[:, None] * x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = np.zeros((3000, n))
+    np.add.at(rows, (at, ids), weights[ids])
+    length = np.sqrt(np.bincount(at, weights[ids] ** 2, 3000))
+    rows /= np.where(length > 0, length, 1)[:, None]
+    assert np.allclose(got, rows.T @ (rows @ x))
+    assert most < n * n * 8  # a whole table and its mirror image took more than twice that
+
+
+def test_executors_give_heap_back_before_the_fit(spark, monkeypatch):
+    context, order = spark.sparkContext, []
+    context.setJobGroup("release", "")
+    common.release(spark)
+    jobs = context.statusTracker().getJobIdsForGroup("release")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert [context.statusTracker().getStageInfo(s).numTasks for j in jobs for s in context.statusTracker().getJobInfo(j).stageIds] == [context.defaultParallelism]
+    space = latent.latent_space
+    monkeypatch.setattr(latent, "release", lambda spark: order.append("release"))
+    monkeypatch.setattr(latent, "latent_space", lambda *args: order.append("fit") or space(*args))
+    benchmark = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(30)))], "item_id long, text string")
+    latent.prepared(frame(spark, [(i, f"word{i} and word{i + 1}", "en") for i in range(20)]), benchmark, None, 8)
+    assert order == ["release", "fit"]
