@@ -339,7 +339,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> tuple[dict[st
 def log_likelihoods(texts: list[np.ndarray], w: dict[str, np.ndarray], vocabulary: Vocabulary, chunk: int = BATCH) -> np.ndarray:
     """Sum of log p(id | both sides) for each text, in whole units.
 
-    All chunks have one shape, so that a token's value doesn't depend on what is read with it.
+    All chunks have one shape, and doubles are multiplied: products of floats differ in their last bits by the place in a chunk, which
+    can turn a unit. So a token's value doesn't depend on what is read with it.
     """
     sizes = np.array([len(t) for t in texts])
     if not sizes.sum():
@@ -348,7 +349,7 @@ def log_likelihoods(texts: list[np.ndarray], w: dict[str, np.ndarray], vocabular
     units = np.empty(-(-len(at) // chunk) * chunk, np.int64)
     some = np.full(len(units), at[-1])
     some[: len(at)] = at
-    within = vocabulary.within
+    within, w = vocabulary.within, {k: x.astype(np.float64) for k, x in w.items()}
     for s in range(0, len(units), chunk):
         places = some[s : s + chunk]
         own = line[places]

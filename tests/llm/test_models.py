@@ -564,3 +564,13 @@ def test_executors_give_heap_back_before_the_fit(spark, monkeypatch):
     benchmark = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(30)))], "item_id long, text string")
     latent.prepared(frame(spark, [(i, f"word{i} and word{i + 1}", "en") for i in range(20)]), benchmark, None, 8)
     assert order == ["release", "fit"]
+
+
+def test_a_score_does_not_depend_on_its_place():
+    rng = np.random.default_rng(3)
+    v = masked_lm.Vocabulary(np.sort(rng.integers(0, 1 << 62, 3000).astype(np.uint64)), np.arange(3000, 0, -1), np.arange(256) % 7)
+    w = {k: x if k == "prior" else x * np.float32(8) for k, x in masked_lm.start(v).items()}
+    texts = [rng.integers(1, v.size, rng.integers(1, 200)).astype(v.kind) for _ in range(200)]
+    together = masked_lm.log_likelihoods(texts, w, v).tolist()
+    assert masked_lm.log_likelihoods(texts[::-1], w, v)[::-1].tolist() == together
+    assert [int(masked_lm.log_likelihoods([t], w, v)[0]) for t in texts[:50]] == together[:50]
